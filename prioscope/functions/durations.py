@@ -24,16 +24,14 @@ def parse_minutes(col: Column, default_unit: str = "minutes") -> Column:
     """
     if default_unit not in ("minutes", "hours"):
         raise ValueError(f"unknown unit: {default_unit}")
-    text = F.lower(strip(col.cast("string")))
-    clock = r"^(\d+):(\d+):(\d+)"
+    text = F.lower(col.cast("string"))
+    clock = rf"^{BLANK}*(\d+):(\d+):(\d+)"
+    # Without a clock the groups are empty and the sum is null.
     hours, minutes, seconds = (F.regexp_extract(text, clock, i).try_cast("double") for i in (1, 2, 3))
     number = F.regexp_substr(text, F.lit(r"[0-9.]+")).try_cast("double")
-    return (
-        F.when(text.rlike(clock), hours * 60 + minutes + seconds / 60)
-        .when(text.contains("day"), number * 1440)
-        .when(text.contains("hour"), number * 60)
-        .otherwise(number * (60 if default_unit == "hours" else 1))
-    )
+    unit = F.when(text.contains("day"), 1440).when(text.contains("hour"), 60).otherwise(
+        60 if default_unit == "hours" else 1)
+    return F.coalesce(hours * 60 + minutes + seconds / 60, number * unit)
 
 
 def hours_to_minutes(col: Column) -> Column:

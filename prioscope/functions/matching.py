@@ -59,13 +59,29 @@ def phrase_hits(text: Column, phrases: Sequence[str] = ALL_PHRASES) -> Column:
     def expand(hit: Column) -> Column:
         value = None
         for phrase, inner in nested.items():
-            found = F.array(*[F.lit(x) for x in (phrase, *inner)])
+            found = text_array((phrase, *inner))
             value = F.when(hit == phrase, found) if value is None else value.when(hit == phrase, found)
         return value.otherwise(F.array(hit))
 
-    outer = F.array(*[F.lit(p) for p in nested])
     # Most texts hold no nested phrase; those keep the array as it is.
-    return F.when(F.arrays_overlap(longest, outer), F.flatten(F.transform(longest, expand))).otherwise(longest)
+    return F.when(any_hit(longest, nested), F.flatten(F.transform(longest, expand))).otherwise(longest)
+
+
+def text_array(values: Iterable[str]) -> Column:
+    """Constant array<string>."""
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _in(hit: Column, phrases: Iterable[str]) -> Column:
+    return F.array_contains(text_array(phrases), hit)
+
+
+def any_hit(hits: Column, phrases: Iterable[str]) -> Column:
+    return F.arrays_overlap(hits, text_array(phrases))
 
 
 def present(hits: Column, phrase: str) -> Column:
@@ -74,12 +90,12 @@ def present(hits: Column, phrase: str) -> Column:
 
 def distinct_hits(hits: Column, phrases: Sequence[str]) -> Column:
     """How many different phrases of the set occur."""
-    return F.size(F.array_intersect(hits, F.array(*[F.lit(p) for p in phrases])))
+    return F.size(F.array_intersect(hits, text_array(phrases)))
 
 
 def total_hits(hits: Column, phrases: Sequence[str]) -> Column:
     """How often phrases of the set occur, repeats included."""
-    return F.size(F.filter(hits, lambda hit: hit.isin(*phrases)))
+    return F.size(F.filter(hits, lambda hit: _in(hit, phrases)))
 
 
 def weighted_hits(hits: Column, weighted: Sequence[tuple[str, float]]) -> Column:
@@ -93,7 +109,7 @@ def weighted_hits(hits: Column, weighted: Sequence[tuple[str, float]]) -> Column
     def units(hit: Column) -> Column:
         value = None
         for amount, group in by_units.items():
-            matched = hit.isin(*group)
+            matched = _in(hit, group)
             value = F.when(matched, F.lit(amount)) if value is None else value.when(matched, F.lit(amount))
         return value.otherwise(F.lit(0))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from . import lexicons as lx
-from .matching import distinct_hits, total_hits, weighted_hits
+from .matching import any_hit, distinct_hits, total_hits, weighted_hits
 from .text import strip
 
 # The scale, lowest first.
@@ -41,17 +41,13 @@ def tiered_severity(hits: Column, description_words: Column, short_tiers: bool =
     keep = [p for p in lx.TIER_MEDIUM if not (short_tiers and p in lx.TIER_SHORT_OMITS)]
     low_keep = [p for p in lx.TIER_LOW if not (short_tiers and p in lx.TIER_SHORT_OMITS)]
     high = distinct_hits(hits, lx.TIER_HIGH)
-    negated = F.arrays_overlap(hits, F.array(*[F.lit(p) for p in lx.TIER_NEGATIONS]))
-
-    def any_of(phrases: Sequence[str]) -> Column:
-        return F.arrays_overlap(hits, F.array(*[F.lit(p) for p in phrases]))
-
+    negated = any_hit(hits, lx.TIER_NEGATIONS)
     return (
-        F.when(any_of(lx.TIER_CRITICAL), "Critical")
+        F.when(any_hit(hits, lx.TIER_CRITICAL), "Critical")
         .when((high >= 2) & negated, "Critical")
         .when(high >= 1, "High")
-        .when(any_of(keep), F.when(negated, "High").otherwise("Medium"))
-        .when(any_of(low_keep), "Low")
+        .when(any_hit(hits, keep), F.when(negated, "High").otherwise("Medium"))
+        .when(any_hit(hits, low_keep), "Low")
         .when(description_words > 80, "High")
         .when(description_words > 15, "Medium")
         .otherwise("Low")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # bounds the bucket table whatever the data.
 BUCKETS_PER_OCTAVE = 512
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE
+NO_VALUE = 2**62
 # Rows per bucket of an integer key when numbering rows.
 KEYS_PER_BUCKET = 100_000
 
@@ -28,6 +29,7 @@ def magnitude_bucket(value: Column) -> Column:
 
 def values_at_ranks(
     rows: DataFrame, bucket: Column, ranks: Callable[[Column, Column], Column], groups: Sequence[str] = (),
+    bucket_type: str = "bigint",
 ) -> DataFrame:
     """Values at given 1-based ranks, per group: columns groups, target, value, total.
 
@@ -36,10 +38,11 @@ def values_at_ranks(
     total of any group to an array of ranks, of fixed length; rank 0 finds
     nothing. Groups must be few: they are broadcast.
     """
-    keyed = rows.withColumn("_bucket", bucket)
+    # Rows without a value go to a bucket of their own, of size 0.
+    keyed = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(NO_VALUE).cast(bucket_type)))
     running = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups)
-    per_bucket = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_size")).select(
+    per_bucket = keyed.groupBy(*groups, "_bucket").agg(F.count("value").alias("_size")).select(
         *groups, "_bucket", "_size",
         (F.sum("_size").over(running) - F.col("_size")).alias("_before"),
         F.sum("_size").over(whole).alias("total"),
@@ -65,7 +68,7 @@ def exact_quantiles(df: DataFrame, column: str | Column, probabilities: dict[str
     Without any value the row holds nulls.
     """
     value = F.col(column) if isinstance(column, str) else column
-    rows = df.select(value.cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    rows = df.select(F.nanvl(value.cast("double"), F.lit(None).cast("double")).alias("value"))
     shares = list(probabilities.items())
 
     def position(share: float, total: Column) -> Column:

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import lexicons as lx
 from ..functions.durations import hours_to_minutes, parse_minutes
 from ..functions.evidence import STYLES, tier_message
-from ..functions.severity import mismatch_type, severity_from_probability
+from ..functions.severity import mismatch_type, severity_from_probability, severity_number
 from ..operators import (
-    cleaning, clustering, dashboards, dossiers, evaluation, features, filling, fusion, profiling, signals, terms,
+    cleaning, clustering, dashboards, dossiers, evaluation, features, filling, fusion, learned, profiling, signals, terms,
 )
+from ..operators.classifier import Settings, Training, train_classifier
 from ..sources.composed import CHANNEL_NAMES, composed_tickets, read_table, spread
 from ..sources.resolver import to_tickets
+from ..sources.tables import written
+from . import audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,16 +71,22 @@ def with_cluster_severity(df: DataFrame) -> DataFrame:
     return clustering.attach_cluster_severity(filled, clustering.rank_clusters(filled, "time", "predicted_minutes"))
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """All four signals, the fused severity and the mismatch label."""
-    scored = signals.density_signal(signals.tier_signal(matched(spark, d)))
-    bucketed = signals.quartile_bucket(with_cluster_severity(scored))
-    return fusion.label_mismatch(fusion.fuse(bucketed))
+TEXT_COLUMNS = ("subject", "description", "priority_raw", "resolution_raw")
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Stage table: signals 1 and 4 of every ticket, without the texts."""
+    return written(signals.density_signal(signals.tier_signal(matched(spark, d))).drop(*TEXT_COLUMNS), "scored")
 
 
 def light_labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Signal 1 fused with the stand-in cluster: enough for the label."""
-    return fusion.label_mismatch(fusion.fuse(with_cluster_severity(signals.tier_signal(matched(spark, d)))))
+    """Signal 1 fused with the stand-in cluster, and the mismatch label."""
+    return fusion.label_mismatch(fusion.fuse(with_cluster_severity(scored(spark, d))))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """All four signals, the fused severity and the mismatch label."""
+    return fusion.label_mismatch(fusion.fuse(signals.quartile_bucket(with_cluster_severity(scored(spark, d)))))
 
 
 def predicted(df: DataFrame) -> DataFrame:
@@ -97,9 +106,9 @@ def audited(spark: SparkSession, d: str) -> DataFrame:
 @query
 def mismatch_by_channel(spark: SparkSession, d: str) -> DataFrame:
     """Tickets and mismatches between signal 1 and the assigned priority, per channel."""
-    scored = signals.tier_signal(matched(spark, d))
+    tiered = signals.tier_signal(matched(spark, d))
     gap = F.col("llm_severity_num") - F.col("assigned_num")
-    return scored.groupBy("channel").agg(
+    return tiered.groupBy("channel").agg(
         F.count("*").alias("tickets"),
         F.count_if(F.abs(gap) >= 2).alias("mismatches"),
         F.count_if(gap >= 2).alias("under_prioritised"),
@@ -264,8 +273,8 @@ def document_density(spark: SparkSession, d: str) -> DataFrame:
     """Keyword density of long multilingual texts, read whole."""
     texts = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.lit("").alias("subject"), F.col("text").alias("description"))
-    scored = signals.density_signal(signals.with_phrase_hits(texts))
-    return scored.select("doc_id", F.size("hits").alias("phrase_hits"), "words", "keyword_density", "rule_nlp_severity")
+    dense = signals.density_signal(signals.with_phrase_hits(texts))
+    return dense.select("doc_id", F.size("hits").alias("phrase_hits"), "words", "keyword_density", "rule_nlp_severity")
 
 
 @query
@@ -325,11 +334,10 @@ def cluster_rank_by_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def signal_agreement(spark: SparkSession, d: str) -> DataFrame:
-    scored = light_labelled(spark, d)
-    return scored.transform(lambda df: evaluation.agreement(df, "llm_severity_score", "cluster_severity")).select(
-        F.lit("cluster_severity").alias("compared_with"), "agreement").unionByName(
-        evaluation.agreement(scored, "llm_severity_score", "assigned_priority").select(
-            F.lit("assigned_priority").alias("compared_with"), "agreement"))
+    table = light_labelled(spark, d)
+    parts = [evaluation.agreement(table, "llm_severity_score", other).select(
+        F.lit(other).alias("compared_with"), "agreement") for other in ("cluster_severity", "assigned_priority")]
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -341,20 +349,18 @@ def signal_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def severity_from_prob(spark: SparkSession, d: str) -> DataFrame:
-    scored = predicted(signals.double_hit_density(matched(spark, d)))
+    judged = predicted(signals.double_hit_density(matched(spark, d)))
     batch = severity_from_probability(F.col("predicted_label"), F.col("prob_mismatch"), F.col("rule_nlp_severity"))
     interactive = severity_from_probability(
         F.col("predicted_label"), F.col("prob_mismatch"), F.col("assigned_priority"), interactive=True)
-    return scored.select("ticket_id", batch.alias("batch_severity"), interactive.alias("interactive_severity"))
+    return judged.select("ticket_id", batch.alias("batch_severity"), interactive.alias("interactive_severity"))
 
 
 @query
 def mismatch_types(spark: SparkSession, d: str) -> DataFrame:
-    scored = audited(spark, d).withColumn("delta", F.col("assigned_num") * -1 + F.when(
-        F.col("inferred_severity") == "Low", 1).when(F.col("inferred_severity") == "Medium", 2).when(
-        F.col("inferred_severity") == "High", 3).otherwise(4))
+    judged = audited(spark, d).withColumn("delta", severity_number(F.col("inferred_severity")) - F.col("assigned_num"))
     kinds = [mismatch_type(F.col("predicted_label"), F.col("delta"), p) for p in (F.col("prob_mismatch"), None)]
-    return scored.select("ticket_id", "delta", kinds[0].alias("mismatch_type"), kinds[1].alias("interactive_type"))
+    return judged.select("ticket_id", "delta", kinds[0].alias("mismatch_type"), kinds[1].alias("interactive_type"))
 
 
 def _ruled(spark: SparkSession, d: str, interactive: bool) -> DataFrame:
@@ -433,7 +439,7 @@ def dossier_nested(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dossier_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The nested evidence, one row per signal."""
-    return dossiers.dossiers(audited(spark, d)).select("ticket_id", F.inline("feature_evidence"))
+    return dossiers.dossiers(audited(spark, d)).select("ticket_id", F.inline_outer("feature_evidence"))
 
 
 @query
@@ -445,9 +451,9 @@ def dossier_joined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    scored = audited(spark, d)
-    delta = fusion.severity_number(F.col("inferred_severity")) - F.col("assigned_num")
-    return scored.withColumn("severity_delta", delta.cast("int")).withColumn("mismatch_type", mismatch_type(
+    judged = audited(spark, d)
+    delta = severity_number(F.col("inferred_severity")) - F.col("assigned_num")
+    return judged.withColumn("severity_delta", delta.cast("int")).withColumn("mismatch_type", mismatch_type(
         F.col("predicted_label"), F.col("severity_delta"), F.col("prob_mismatch")))
 
 
@@ -464,8 +470,7 @@ def dossier_examples(spark: SparkSession, d: str) -> DataFrame:
 @query
 def batch_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Result table of a batch audit on the stand-in probability."""
-    from .audit import prediction_columns
-    return prediction_columns(_typed(spark, d))
+    return audit.prediction_columns(_typed(spark, d))
 
 
 @query
@@ -557,12 +562,13 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    return features.stratified_split(light_labelled(spark, d)).select("ticket_id", "mismatch", "split")
+    labels = written(light_labelled(spark, d).select("ticket_id", "mismatch"), "labels")
+    return features.stratified_split(labels).select("ticket_id", "mismatch", "split")
 
 
 @query
 def oversample(spark: SparkSession, d: str) -> DataFrame:
-    return features.oversample(light_labelled(spark, d).select("ticket_id", "mismatch"))
+    return features.oversample(written(light_labelled(spark, d).select("ticket_id", "mismatch"), "labels"))
 
 
 @query
@@ -581,3 +587,72 @@ def text_features(spark: SparkSession, d: str) -> DataFrame:
 def standardize(spark: SparkSession, d: str) -> DataFrame:
     table = features.text_features(matched(spark, d)).select("ticket_id", *features.TEXT_FEATURES)
     return _rounded(features.standardize(table, features.TEXT_FEATURES), 6)
+
+
+# --- learned operators: rows and invariants only -----------------------------
+
+# Small models keep the check short; the operators default to the published sizes.
+SMALL_CLUSTERING = {"k": 50, "seeds": (42, 43, 44), "max_iter": 50}
+SMALL_REGRESSION = {"trees": 10}
+SMALL_MODEL = Settings(trees=10, linear_iterations=50)
+
+
+@query
+def lsa_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return learned.latent_vectors(texts(spark, d), k=SMALL_CLUSTERING["k"])[0]
+
+
+@query
+def cluster_severity(spark: SparkSession, d: str) -> DataFrame:
+    return learned.cluster_signal(clean(spark, d), **SMALL_CLUSTERING).select(
+        "ticket_id", "cluster_id", "cluster_severity")
+
+
+@query
+def regression_severity(spark: SparkSession, d: str) -> DataFrame:
+    return learned.regression_signal(clean(spark, d), **SMALL_REGRESSION).select(
+        "ticket_id", "predicted_minutes", "regression_severity")
+
+
+@query
+def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """k-means with restarts on given vectors."""
+    vectors = clustering.dense_features(
+        read_table(spark, d, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>")), "vector")
+    vectors = written(vectors.select("vec_id", "features"), "embeddings")
+    return clustering.fit_clusters(vectors, seeds=(42, 43, 44), max_iter=50).transform(vectors).select(
+        "vec_id", "cluster_id")
+
+
+def _training(spark: SparkSession, d: str) -> tuple[DataFrame, Training]:
+    """Classifier of the fused label from signal 1 and the stand-in clusters."""
+    table = fusion.label_mismatch(fusion.fuse(with_cluster_severity(
+        written(signals.tier_signal(matched(spark, d)), "matched"))))
+    table = written(table, "classifier-input")
+    return table, train_classifier(table, SMALL_MODEL)
+
+
+@query
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Test predictions of the trained ensemble."""
+    return _training(spark, d)[1].test_predictions
+
+
+@query
+def classifier_quality(spark: SparkSession, d: str) -> DataFrame:
+    return _training(spark, d)[1].metrics
+
+
+@query
+def batch_audit(spark: SparkSession, d: str) -> DataFrame:
+    """All tickets scored by a freshly trained ensemble and the rules."""
+    table, training = _training(spark, d)
+    return audit.prediction_columns(audit.batch_audit(table.drop("hits", "words"), training.model), short=True)
+
+
+@query
+def robustness_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid of ensemble and rules against the fused label, next to the keyword baseline."""
+    table, training = _training(spark, d)
+    return audit.robustness_run(table.drop("hits", "words").withColumn("expected_mismatch", F.col("mismatch")),
+                                training.model)[1]

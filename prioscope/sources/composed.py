@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.matching import sql_text
+
 # --- Fixed values: text blocks of the composed tickets ----------------------
 SUBJECTS = (
     "Small question about database access", "Login failed", "URGENT please help now", "Routine check",
@@ -34,7 +36,8 @@ CHANNEL_NAMES = ("Chat", "Email", "Phone", "Social Media", "Unknown", "Web Form"
 
 
 def _pick(values: tuple, number: Column) -> Column:
-    return F.array(*[F.lit(v) for v in values])[(number % len(values)).cast("int")]
+    items = ", ".join("NULL" if v is None else sql_text(v) for v in values)
+    return F.expr(f"array({items})")[(number % len(values)).cast("int")]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
