@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Unicode word characters, and what counts as blank space around a value.
+# Unicode word characters, and blank space as patterns and as a list.
 WORD = r"[\p{L}\p{N}_]"
 BLANK = r"[\s\p{Z}\x85\x1c-\x1f]"
 NOT_BLANK = r"[^\s\p{Z}\x85\x1c-\x1f]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(col: Column) -> Column:
     """Remove blank space of any kind at both ends (SQL trim knows only spaces)."""
-    return F.regexp_replace(col, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(col, F.lit(BLANKS))
 
 
 def or_empty(col: Column) -> Column:

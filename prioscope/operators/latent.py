@@ -7,32 +7,41 @@ and component count, reach the driver.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The functions below travel to the workers by value: nothing to install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OVERSAMPLING = 10
-PASSES = 4
+PASSES = 3
 # A singular value below this share of the first is numerical noise.
 RANK_TOLERANCE = 1e-7
 TASKS_PER_CORE = 2
+# Rows per dense block; a block is at most this many rows times the vocabulary.
+BLOCK_ROWS = 512
+
 
+def _blocks(indices: pa.ListArray, weights: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A batch of sparse rows as small dense blocks over the terms that occur in them.
 
-def _row_products(indices: pd.Series, weights: pd.Series, matrix: np.ndarray):
-    """Rows of X @ matrix for sparse rows, with the flattened entries."""
-    lengths = np.fromiter((len(i) for i in indices), dtype=np.int64, count=len(indices))
-    rows = np.repeat(np.arange(len(indices)), lengths)
-    columns = np.concatenate(list(indices)) if lengths.sum() else np.zeros(0, dtype=np.int64)
-    values = np.concatenate(list(weights)) if lengths.sum() else np.zeros(0)
-    products = np.zeros((len(indices), matrix.shape[1]))
-    filled = lengths > 0
-    if filled.any():
-        starts = (np.cumsum(lengths) - lengths)[filled]
-        products[filled] = np.add.reduceat(values[:, None] * matrix[columns], starts, axis=0)
-    return products, rows, columns, values
+    Yields the term indices and the block, rows by terms.
+    """
+    ends = indices.offsets.to_numpy()
+    terms, values = indices.values.to_numpy(), weights.values.to_numpy()
+    for first in range(0, len(indices), BLOCK_ROWS):
+        last = min(first + BLOCK_ROWS, len(indices))
+        entries = slice(ends[first], ends[last])
+        used, column = np.unique(terms[entries], return_inverse=True)
+        block = np.zeros((last - first, len(used)))
+        block[np.repeat(np.arange(last - first), np.diff(ends[first:last + 1])), column] = values[entries]
+        yield used, block
 
 
 def _gram_product(df: DataFrame, matrix: np.ndarray) -> np.ndarray:
@@ -44,22 +53,17 @@ def _gram_product(df: DataFrame, matrix: np.ndarray) -> np.ndarray:
     shared = df.sparkSession.sparkContext.broadcast(matrix)
     width = matrix.shape[1]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = shared.value
         total = np.zeros_like(basis)
         for batch in batches:
-            products, rows, columns, values = _row_products(batch["indices"], batch["weights"], basis)
-            if not len(columns):
-                continue
-            order = np.argsort(columns, kind="stable")
-            sorted_columns = columns[order]
-            starts = np.flatnonzero(np.r_[True, sorted_columns[1:] != sorted_columns[:-1]])
-            sums = np.add.reduceat(values[order, None] * products[rows[order]], starts, axis=0)
-            total[sorted_columns[starts]] += sums
+            for terms, block in _blocks(batch.column("indices"), batch.column("weights")):
+                total[terms] += block.T @ (block @ basis[terms])
         used = np.flatnonzero(np.any(total != 0, axis=1))
-        yield pd.DataFrame({"term": used.astype(np.int32), "sums": list(total[used])})
+        sums = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), width).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), sums], ["term", "sums"])
 
-    parts = df.select("indices", "weights").mapInPandas(partial, "term int, sums array<double>")
+    parts = df.select("indices", "weights").mapInArrow(partial, "term int, sums array<double>")
     added = parts.groupBy("term").agg(*[F.sum(F.col("sums")[j]).alias(f"c{j}") for j in range(width)])
     collected = added.toPandas()
     out = np.zeros_like(matrix)
@@ -76,12 +80,15 @@ class LatentModel:
     def vectors(self, indices: Column, weights: Column) -> Column:
         """L2-normalised coordinates of a sparse row, as array<double>."""
         basis = self.components
+        width = basis.shape[1]
 
-        @F.pandas_udf("array<double>")
-        def project(index_batch: pd.Series, weight_batch: pd.Series) -> pd.Series:
-            products = _row_products(index_batch, weight_batch, basis)[0]
+        @F.arrow_udf("array<double>")
+        def project(index_batch: pa.Array, weight_batch: pa.Array) -> pa.Array:
+            parts = [block @ basis[terms] for terms, block in _blocks(index_batch, weight_batch)]
+            products = np.concatenate(parts) if parts else np.zeros((0, width))
             norms = np.linalg.norm(products, axis=1, keepdims=True)
-            return pd.Series(list(products / np.where(norms == 0, 1.0, norms)))
+            unit = products / np.where(norms == 0, 1.0, norms)
+            return pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), width).cast(pa.list_(pa.float64()))
 
         return project(indices, weights)
 

@@ -26,9 +26,8 @@ def with_phrase_hits(df: DataFrame) -> DataFrame:
     text = joined_text(F.col("subject"), F.col("description"))
     return df.withColumns({
         "hits": phrase_hits(text),
-        "words": word_count(text),
         "description_words": word_count(F.col("description")),
-    })
+    }).withColumn("words", word_count(F.col("subject")) + F.col("description_words"))
 
 
 def tier_signal(df: DataFrame, short_tiers: bool = False) -> DataFrame:
