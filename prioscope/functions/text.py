@@ -57,7 +57,7 @@ def snippet(col: Column, length: int, ellipsis: str = "...") -> Column:
 
 def fixed(col: Column, digits: int) -> Column:
     """Number with a fixed number of decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(col, digits))
+    return F.format_string(f"%.{digits}f", F.bround(col.cast("double"), digits))
 
 
 def percent(col: Column) -> Column:
