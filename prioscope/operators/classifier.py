@@ -147,7 +147,8 @@ def fit_models(train: DataFrame, features: FeatureModel, settings: Settings) ->
 @dataclass(frozen=True)
 class Training:
     model: MismatchModel
-    test_predictions: DataFrame    # ticket_id, split test: label, probabilities, prediction
+    test_predictions: DataFrame    # per test ticket: id, prediction, probability, label
+    test_tickets: DataFrame        # the input rows of the test split
     metrics: DataFrame             # one row
     validation: DataFrame          # accuracy per model
     sweep: DataFrame               # threshold sweep on the validation split
@@ -182,7 +183,8 @@ def train_classifier(df: DataFrame, settings: Settings = Settings(), key: str =
     test = held_out.where("split = 'test'").select(
         "ticket_id", (F.col("prob_mismatch") >= best).cast("int").alias("predicted_label"),
         F.bround("prob_mismatch", 4).alias("prob_mismatch"), F.col("label").alias("true_label"))
-    return Training(model, test, test_metrics(test, best), validation_accuracy(validation), sweep)
+    return Training(model, test, split.where("split = 'test'"), test_metrics(test, best),
+                    validation_accuracy(validation), sweep)
 
 
 def validation_accuracy(scored: DataFrame) -> DataFrame:

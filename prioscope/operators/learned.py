@@ -21,47 +21,52 @@ COMPONENTS = 100
 REGRESSION_TERMS = 100
 
 
-def latent_vectors(
-    df: DataFrame, text: str = "text", key: str = "ticket_id", terms: int = CLUSTER_TERMS, k: int = COMPONENTS,
+def with_latent_vectors(
+    df: DataFrame, text: str = "text", terms: int = CLUSTER_TERMS, k: int = COMPONENTS,
 ) -> tuple[DataFrame, LatentModel]:
-    """Table of key and L2-normalised latent coordinates of each text."""
+    """Add `vector`, the L2-normalised latent coordinates of a text; other columns stay.
+
+    The weights are a stage table with every column of `df`: the fit reads only
+    its own columns from it, and nothing has to be joined back.
+    """
     model = TfidfModel.fit(df, text, terms)
-    weighted = model.weights(df.select(key, text), text, "_w").select(
-        key, F.col("_w")["indices"].alias("indices"), F.col("_w")["weights"].alias("weights"))
+    weighted = model.weights(df, text, "_w").withColumns({
+        "indices": F.col("_w")["indices"], "weights": F.col("_w")["weights"]}).drop("_w")
     rows = written(weighted, "tfidf")
     latent = fit_latent(rows, len(model.terms), k)
-    return rows.select(key, latent.vectors(F.col("indices"), F.col("weights")).alias("vector")), latent
+    vectors = rows.withColumn("vector", latent.vectors(F.col("indices"), F.col("weights")))
+    return vectors.drop("indices", "weights"), latent
 
 
-def text_clusters(
-    df: DataFrame, text: str = "text", key: str = "ticket_id", terms: int = CLUSTER_TERMS, k: int = COMPONENTS,
+def with_text_clusters(
+    df: DataFrame, text: str = "text", terms: int = CLUSTER_TERMS, k: int = COMPONENTS,
     seeds: Sequence[int] = range(42, 42 + RESTARTS), max_iter: int = MAX_ITERATIONS,
 ) -> DataFrame:
-    """Table of key and cluster_id."""
-    vectors = written(dense_features(latent_vectors(df, text, key, terms, k)[0], "vector").drop("vector"), "vectors")
-    vectors.persist()
+    """Add cluster_id, the best of several k-means runs over the latent vectors."""
+    vectors = written(dense_features(with_latent_vectors(df, text, terms, k)[0], "vector").drop("vector"), "vectors")
+    points = vectors.select("features").persist()
     try:
-        model = fit_clusters(vectors, seeds=seeds, max_iter=max_iter)
-        return written(model.transform(vectors).select(key, "cluster_id"), "clusters")
+        model = fit_clusters(points, seeds=seeds, max_iter=max_iter)
     finally:
-        vectors.unpersist()
+        points.unpersist()
+    return model.transform(vectors).drop("features")
 
 
-def cluster_signal(df: DataFrame, minutes: str | None = "resolution_minutes", key: str = "ticket_id", **options) -> DataFrame:
+def cluster_signal(df: DataFrame, minutes: str | None = "resolution_minutes", **options) -> DataFrame:
     """Signal 2: add cluster_id and cluster_severity to cleaned tickets.
 
     Clusters rank by mean resolution time, or by size when there is no time.
     """
-    texts = df.withColumn("text", F.concat("subject", F.lit(" "), F.coalesce("description", F.lit(""))))
-    joined = df.join(text_clusters(texts, key=key, **options), key)
+    texts = df.withColumn("_text", F.concat("subject", F.lit(" "), F.coalesce("description", F.lit(""))))
+    clustered = written(with_text_clusters(texts, "_text", **options).drop("_text"), "clusters")
     if minutes is None:
-        return attach_cluster_severity(joined, rank_clusters(joined, "size"))
-    filled = median_filled(joined, minutes, "_minutes")
+        return attach_cluster_severity(clustered, rank_clusters(clustered, "size"))
+    filled = median_filled(clustered, minutes, "_minutes")
     return attach_cluster_severity(filled, rank_clusters(filled, "time", "_minutes")).drop("_minutes")
 
 
 def regression_signal(
-    df: DataFrame, minutes: str | None = "resolution_minutes", key: str = "ticket_id", trees: int = 100, depth: int = 4,
+    df: DataFrame, minutes: str | None = "resolution_minutes", trees: int = 100, depth: int = 4,
     step: float = 0.1, terms: int = REGRESSION_TERMS, seed: int = 42,
 ) -> DataFrame:
     """Signal 3: add predicted_minutes and regression_severity to cleaned tickets.
@@ -74,16 +79,14 @@ def regression_signal(
         return df.withColumns({
             "predicted_minutes": F.lit(None).cast("double"), "regression_severity": F.lit("Medium")})
     tfidf = TfidfModel.fit(df, "description", terms, sublinear=False, min_df=1)
-    known = {"channel": F.coalesce("channel", F.lit("Unknown")), "category": F.coalesce("category", F.lit("Unknown"))}
-    rows = median_filled(df.withColumns(known), minutes, "_label", ALL_MISSING_MINUTES).select(
-        key, "description", "channel", "category", F.col("_label").alias("label"))
-    rows = tfidf.vectors(rows, "description", "_terms")
+    rows = tfidf.vectors(median_filled(df, minutes, "_label", ALL_MISSING_MINUTES), "description", "_terms")
     for column in ("channel", "category"):
-        rows = fit_label_encoder(rows.select(column), column, f"_{column}").transform(rows)
+        known = rows.withColumn(f"_{column}", F.coalesce(column, F.lit("Unknown")))
+        rows = fit_label_encoder(known.select(f"_{column}"), f"_{column}", f"_{column}_code").transform(known)
     rows = VectorSizeHint(inputCol="_terms", size=len(tfidf.terms), handleInvalid="optimistic").transform(rows)
-    assembler = VectorAssembler(inputCols=["_terms", "_channel", "_category"], outputCol="features")
-    table = written(assembler.transform(rows).select(key, "label", "features"), "regression")
-    model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed,
-                         predictionCol="predicted_minutes").fit(table)
-    predicted = written(model.transform(table).select(key, "predicted_minutes"), "predicted")
-    return df.join(quartile_bucket(predicted), key)
+    assembler = VectorAssembler(inputCols=["_terms", "_channel_code", "_category_code"], outputCol="_features")
+    table = written(assembler.transform(rows).select(*df.columns, "_label", "_features"), "regression")
+    model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, featuresCol="_features",
+                         labelCol="_label", predictionCol="predicted_minutes").fit(table.select("_label", "_features"))
+    predicted = written(model.transform(table).drop("_label", "_features"), "predicted")
+    return quartile_bucket(predicted)

@@ -599,7 +599,7 @@ SMALL_MODEL = Settings(trees=10, linear_iterations=50)
 
 @query
 def lsa_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return learned.latent_vectors(texts(spark, d), k=SMALL_CLUSTERING["k"])[0]
+    return learned.with_latent_vectors(texts(spark, d), k=SMALL_CLUSTERING["k"])[0].select("ticket_id", "vector")
 
 
 @query
