@@ -33,7 +33,7 @@ MODEL_THRESHOLD = 0.64
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -137,7 +137,7 @@ def parse_resolution_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def hours_as_minutes(spark: SparkSession, d: str) -> DataFrame:
+def hours_to_minutes_(spark: SparkSession, d: str) -> DataFrame:
     minutes = hours_to_minutes(F.col("resolution_time_hours"))
     return composed_tickets(spark, d).select("ticket_id", F.round(minutes, 6).alias("resolution_minutes"))
 
@@ -357,7 +357,7 @@ def severity_from_prob(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def mismatch_types(spark: SparkSession, d: str) -> DataFrame:
+def mismatch_type_(spark: SparkSession, d: str) -> DataFrame:
     judged = audited(spark, d).withColumn("delta", severity_number(F.col("inferred_severity")) - F.col("assigned_num"))
     kinds = [mismatch_type(F.col("predicted_label"), F.col("delta"), p) for p in (F.col("prob_mismatch"), None)]
     return judged.select("ticket_id", "delta", kinds[0].alias("mismatch_type"), kinds[1].alias("interactive_type"))

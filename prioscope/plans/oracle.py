@@ -213,7 +213,7 @@ SQL["dropped_rows"] = raw("""SELECT count(*) AS rows_before,
  count(*) FILTER (ticket_description IS NULL OR priority_level IS NULL) AS rows_dropped,
  count(*) FILTER (ticket_description IS NOT NULL AND priority_level IS NOT NULL) AS rows_kept FROM tickets""")
 SQL["parse_resolution_time"] = raw(f"SELECT ticket_id, round({minutes('resolution_time')}, 6) AS resolution_minutes FROM tickets")
-SQL["hours_as_minutes"] = raw("SELECT ticket_id, round(resolution_time_hours * 60, 6) AS resolution_minutes FROM tickets")
+SQL["hours_to_minutes"] = raw("SELECT ticket_id, round(resolution_time_hours * 60, 6) AS resolution_minutes FROM tickets")
 _num = number("resolution_time")
 SQL["fill_median"] = raw(f""", n AS (SELECT ticket_id, {_num} AS v FROM tickets)
 SELECT ticket_id, round(coalesce(v, (SELECT quantile_cont(v, 0.5) FROM n)), 6) AS filled FROM n""")
@@ -379,7 +379,7 @@ SELECT ticket_id, CASE WHEN predicted_label = 0 THEN rule WHEN prob_mismatch > 0
   WHEN prob_mismatch > 0.65 THEN 'High' ELSE 'Medium' END AS batch_severity,
  CASE WHEN predicted_label = 0 THEN assigned_priority WHEN prob_mismatch > 0.80 THEN 'Critical'
   WHEN prob_mismatch > 0.65 THEN 'High' WHEN prob_mismatch > 0.50 THEN 'Medium' ELSE 'Low' END AS interactive_severity FROM y"""
-SQL["mismatch_types"] = AUDITED + """ SELECT ticket_id, CAST(delta AS INT) AS delta, mismatch_type,
+SQL["mismatch_type"] = AUDITED + """ SELECT ticket_id, CAST(delta AS INT) AS delta, mismatch_type,
  CASE WHEN predicted_label = 0 THEN 'None' WHEN delta < 0 THEN 'False Alarm' ELSE 'Hidden Crisis' END AS interactive_type FROM typed"""
 
 
