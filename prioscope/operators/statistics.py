@@ -8,6 +8,7 @@ one row per task.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,7 +24,8 @@ KEYS_PER_BUCKET = 100_000
 
 def magnitude_bucket(value: Column) -> Column:
     """Order-preserving coarse bucket of a double."""
-    octave = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + _OFFSET
+    # Infinity shares the last bucket.
+    octave = F.floor(F.log2(F.least(F.abs(value), F.lit(sys.float_info.max))) * BUCKETS_PER_OCTAVE) + _OFFSET
     return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * octave)
 
 
@@ -87,7 +89,8 @@ def exact_quantiles(df: DataFrame, column: str | Column, probabilities: dict[str
     for i, (name, share) in enumerate(shares):
         low, high = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
         spot = position(share, F.col("_total"))
-        out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+        between = low + (high - low) * (spot - F.floor(spot))
+        out.append(F.when(low == high, low).otherwise(between).alias(name))
     return row.select(*out)
 
 

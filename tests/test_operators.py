@@ -30,6 +30,22 @@ def test_quantiles_without_values(spark):
     assert list(statistics.exact_quantiles(df, "x", {"a": 0.5}).collect()[0]) == [None]
 
 
+def test_quantiles_with_infinity(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, math.inf, 2.0, -math.inf, 3.0)], "x double")
+    got = statistics.exact_quantiles(df, "x", {"lo": 0.0, "a": 0.25, "b": 0.5, "c": 0.75, "hi": 1.0}).first()
+    assert list(got) == [-math.inf, 1.0, 2.0, 3.0, math.inf]
+
+
+def test_hot_value_and_sketch(spark):
+    """A third of all rows share one value."""
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 5.0D ELSE cast(id as double) END AS x")
+    exact = statistics.exact_quantiles(df, "x", statistics.QUARTILES).first()
+    values = [5.0 if i % 3 == 0 else float(i) for i in range(30_000)]
+    assert list(exact) == pytest.approx(list(np.percentile(values, [25, 50, 75])))
+    near = statistics.approximate_quantiles(df, "x", statistics.QUARTILES).first()
+    assert list(near) == pytest.approx(list(exact), abs=10)
+
+
 def test_row_index_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(statistics, "KEYS_PER_BUCKET", 10)
     keys = random.Random(1).sample(range(-500, 500), 200)

@@ -99,6 +99,15 @@ def test_batch_run(spark, raw, finished, tmp_path, style):
     assert len(lines) == flagged and all(len(d["feature_evidence"]) == 4 for d in lines)
 
 
+def test_missing_channel_and_id_columns(spark):
+    df = spark.createDataFrame([("s", "d", " high ", "2 days"), ("s", "e", "P1", None)],
+                               "subject string, description string, priority string, resolution_time string")
+    rows = audit.prepare(df, "batch").orderBy("description").collect()
+    assert [(r.channel, r.assigned_priority, r.resolution_minutes) for r in rows] == [
+        ("Email", "High", 2880.0), ("Email", "Medium", None)]
+    assert len({r.ticket_id for r in rows}) == 2 and all(r.ticket_id.startswith("ROW-") for r in rows)
+
+
 # Own tickets: crises told politely, alarms about trifles, and honest ones of both kinds.
 ROBUSTNESS = [
     ("R1", "Small favour", "Our database is gone and all users are affected, no rush.", "Low", 180.0, 1),
