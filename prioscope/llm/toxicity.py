@@ -25,7 +25,7 @@ from .words import letter_words
 # The examples are the labelled documents with the smallest hashes, at most so many; everything else covers all rows.
 MAX_EXAMPLES = 16_384
 # Terms that tell the labels apart: at least this chi-squared value, at most so many, strongest first.
-MIN_CHI_SQUARED = 20.0
+MIN_CHI_SQUARED = 45.0
 MAX_TERMS = 8192
 NEIGHBOURS = 15
 BLOCK = 64
@@ -50,38 +50,35 @@ class BlockMaxIndex:
                 self.bound[term, i // BLOCK] = max(self.bound[term, i // BLOCK], weight)
         self.ids = [np.array([i for i, _ in p], np.int64) for p in postings]
         self.weights = [np.array([w for _, w in p]) for p in postings]
-        # Where each block's part of a posting list begins.
-        self.cuts = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids in self.ids]
 
     def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the k nearest with a positive cosine; ties by id."""
         terms, values = list(vector), np.array(list(vector.values()))
         bounds = values @ self.bound[terms]
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        worst = 0.0
-        order = np.argsort(-bounds, kind="stable")
-        for at in range(0, len(order), 8):
-            best = bounds[order[at]]
-            if best <= 0 or len(ids) == k and best < worst - 1e-12:
-                break
-            found_ids, found = self._scored(terms, values, order[at:at + 8])
-            if without >= 0:
-                found_ids, found = found_ids[found_ids != without], found[found_ids != without]
-            ids, scores = np.concatenate([ids, found_ids]), np.concatenate([scores, found])
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[top], scores[top]
-            worst = scores[-1] if len(scores) else 0.0
-        return ids, scores
-
-    def _scored(self, terms: list[int], values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.zeros((len(blocks), BLOCK))
-        for row, block in enumerate(blocks.tolist()):
-            for term, value in zip(terms, values.tolist()):
-                a, b = self.cuts[term][block], self.cuts[term][block + 1]
-                if a < b:
-                    total[row, self.ids[term][a:b] - block * BLOCK] += value * self.weights[term][a:b]
-        row, at = np.nonzero(total > 0)
-        return blocks[row] * BLOCK + at, total[row, at]
+        # The blocks of the largest bounds give a cosine that the k-th nearest has at least.
+        open_ = np.zeros(len(bounds), bool)
+        open_[np.argsort(-bounds, kind="stable")[:max(2, 2 * k // BLOCK)]] = True
+        ids, scores = self._scored(terms, values, open_, without)
+        worst = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        # No other block than these can hold a nearer one.
+        ids, scores = self._scored(terms, values, (bounds > 0) & (bounds >= worst - 1e-12), without)
+        if len(scores) > k:
+            # All that tie with the k-th, then by id.
+            near = scores >= np.partition(scores, -k)[-k]
+            ids, scores = ids[near], scores[near]
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top]
+
+    def _scored(self, terms: list[int], values: np.ndarray, blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros(self.n)
+        for term, value in zip(terms, values.tolist()):
+            ids = self.ids[term]
+            inside = blocks[ids // BLOCK]
+            total[ids[inside]] += value * self.weights[term][inside]
+        if without >= 0:
+            total[without] = 0.0
+        found = np.flatnonzero(total > 0)
+        return found, total[found]
 
 
 @dataclass
