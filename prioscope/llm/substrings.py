@@ -8,8 +8,8 @@
    window, which become the patterns of the shard's Aho-Corasick automaton.
 3. Stream: every document passes through the automata of the shards whose passages
    it may hold. Any window inside a passage holds a whole tile, so each
-   occurrence is hit; a hit is extended word by word, and matches of a window or more are
-   removed. Hashes only choose what is compared; removal rests on equal words.
+   occurrence is hit; the windows around a hit are compared word by word with those
+   of the passages, and equal ones removed. Hashes only choose what is compared; removal rests on equal words.
 """
 
 from __future__ import annotations
@@ -81,9 +81,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     size = size or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     found = written(_confirmed(rows, window, buckets), "recurring-windows")
-    crowd = found.where("kind = 3").select(F.col("a").alias("e"), "b").join(
-        found.where("kind = 4").select(F.col("a").alias("d"), "b"), "b").where("e <> d").select("e", "d")
-    pairs = found.where("kind = 1").select(F.col("a").alias("e"), F.col("b").alias("d")).unionByName(crowd)
+    pairs = found.where("kind = 1").select(F.col("a").alias("e"), F.col("b").alias("d"))
+    # A crowded window of a batch meets the others through the first document of the batch that has it: its documents go where that one goes.
+    crowd = found.where("kind = 3").select(F.col("a").alias("e"), F.col("b").alias("m")).distinct()
+    pairs = pairs.unionByName(crowd.select("e", F.col("m").alias("d"))).unionByName(
+        crowd.join(pairs.distinct().withColumnRenamed("e", "m"), "m").select("e", "d"))
     windows = found.where("kind = 2").agg(F.sum(F.size("values"))).first()[0] or 0
     shards = max(1, -(-windows // SHARD_WINDOWS))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
@@ -111,7 +113,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     """Rows by kind: 1 document a shares windows first seen in b; 2 values of windows first seen in a; 3 document a
-    has window b, which is crowded in some batch; 4 a is the first document with crowded window b."""
+    shares a window with b, the first document of its batch that has it, which the batch is crowded with."""
     width = -(-(1 << _VALUE_BITS) // buckets)
     blobs = ("low", "high", "at", "keys", "crowd")
 
@@ -142,8 +144,10 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         none = np.empty(0, np.int64)
         if crowded.any():
             # To a bucket that only passes them on, so that no bucket gathers a crowd.
-            put(buckets + int(keys[0]) % buckets, values[crowded], none, none, keys[at[crowded]], none)
-            least = [s + int(np.argmin(keys[at[s:s + n]])) for s, n in zip(starts[runs > CROWD], runs[runs > CROWD])]
+            many = np.flatnonzero(runs > CROWD)
+            least = np.array([a + int(np.argmin(keys[at[a:a + n]])) for a, n in zip(starts[many].tolist(), runs[many].tolist())])
+            met = np.unique(at[crowded] << 16 | np.repeat(at[least], runs[many]))
+            put(buckets + int(keys[0]) % buckets, keys[met & 0xFFFF], none, none, keys[met >> 16], none)
             stay = ~crowded
             stay[least] = True
             crowd_values = values[least]
@@ -165,9 +169,9 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         bucket = table["bucket"][0].as_py()
         raw = {c: [x.as_py() for x in table[c]] for c in blobs}
         if bucket >= buckets:
-            values = np.concatenate([np.frombuffer(x, np.int64) for x in raw["low"]])
+            firsts = np.concatenate([np.frombuffer(x, np.int64) for x in raw["low"]])
             keys = np.concatenate([np.frombuffer(x, np.int64) for x in raw["keys"]])
-            return _rows(3, keys, values)
+            return _rows(3, keys[keys != firsts], firsts[keys != firsts])
         local = np.concatenate([np.frombuffer(x, np.uint32) for x in raw["low"]]).astype(np.int64)
         local |= np.concatenate([np.frombuffer(x, np.uint16) for x in raw["high"]]).astype(np.int64) << 32
         keys = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(x, np.uint16)] for k, x in zip(raw["keys"], raw["at"])])
@@ -187,8 +191,7 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
         runs = np.diff(np.append(starts, len(local)))
         firsts, values = keys[starts], local[starts] + bucket * width
-        is_crowd = np.isin(values, crowd)
-        recurs = (keys[starts + runs - 1] != firsts) | is_crowd
+        recurs = (keys[starts + runs - 1] != firsts) | np.isin(values, crowd)
         first_of = np.repeat(firsts, runs)
         other = keys != first_of
         e, d = keys[other], first_of[other]
@@ -202,7 +205,7 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(values_r)), pa.int32()), pa.array(values_r))
         own = pa.table({"kind": pa.array(np.full(len(heads), 2), pa.int32()), "a": pa.array(firsts_r[heads]),
                         "b": pa.nulls(len(heads), pa.int64()), "values": lists})
-        return pa.concat_tables([_rows(1, e[fresh], d[fresh]), own, _rows(4, firsts[is_crowd], values[is_crowd])])
+        return pa.concat_tables([_rows(1, e[fresh], d[fresh]), own])
 
     posted = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull()).mapInArrow(
         post, "bucket bigint, " + ", ".join(f"{c} binary" for c in blobs))
@@ -276,40 +279,37 @@ class PhraseAutomaton:
     def __init__(self, passages: list[tuple[int, list[bytes]]], window: int):
         self.window, self.tile = window, (window + 1) // 2
         self.codes: dict[bytes, int] = {}
-        self.owners = [owner for owner, _ in passages]
-        self.passages = [[self.codes.setdefault(w, len(self.codes) + 1) for w in words] for _, words in passages]
-        tiles: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for i, codes in enumerate(self.passages):
+        # The smallest document with each window.
+        self.owners: dict[tuple[int, ...], int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for owner, words in passages:
+            codes = tuple([self.codes.setdefault(w, len(self.codes) + 1) for w in words])
             for at in range(0, len(codes) - self.tile + 1, self.tile):
-                tiles.setdefault(tuple(codes[at:at + self.tile]), []).append((i, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for tile, places in tiles.items():
-            self.automaton.add_word(tile, places)
-        self.filled = bool(tiles)
-        if self.filled:
+                self.automaton.add_word(codes[at:at + self.tile], 1)
+            for at in range(len(codes) - window + 1):
+                key = codes[at:at + window]
+                self.owners[key] = min(owner, self.owners.get(key, owner))
+        if self.owners:
             self.automaton.make_automaton()
 
     def matches(self, key: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Runs of words equal to a part, of a window or more, of a passage of a smaller document."""
-        if not self.filled or len(words) < self.window:
+        """Runs of words covered by windows of passages of smaller documents."""
+        if not self.owners or len(words) < self.window:
             return []
-        codes = tuple(self.codes.get(w, 0) for w in words)
-        out, reached = [], {}
-        for end, places in self.automaton.iter(codes):
-            start = end - self.tile + 1
-            for i, at in places:
-                if self.owners[i] >= key or reached.get((i, start - at), -1) >= end:
-                    continue
-                passage = self.passages[i]
-                a, b, p, q = start, end + 1, at, at + self.tile
-                while a and p and codes[a - 1] == passage[p - 1]:
-                    a, p = a - 1, p - 1
-                while b < len(codes) and q < len(passage) and codes[b] == passage[q]:
-                    b, q = b + 1, q + 1
-                reached[i, start - at] = b - 1
-                if b - a >= self.window:
-                    out.append((a, b))
-        return merged(out)
+        code, owner = self.codes.get, self.owners.get
+        codes = tuple([code(w, 0) for w in words])
+        last, checked, out = len(codes) - self.window, 0, []
+        for end, _ in self.automaton.iter(codes):
+            # The windows that hold this tile whole.
+            for at in range(max(checked, end - self.window + 1), min(end - self.tile + 1, last) + 1):
+                first = owner(codes[at:at + self.window])
+                if first is not None and first < key:
+                    if out and at <= out[-1][1]:
+                        out[-1][1] = at + self.window
+                    else:
+                        out.append([at, at + self.window])
+            checked = max(checked, end - self.tile + 2)
+        return [(a, b) for a, b in out]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
