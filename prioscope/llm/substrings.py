@@ -21,6 +21,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..sources.tables import written
@@ -228,11 +229,11 @@ def _key_filter(keys: DataFrame) -> np.ndarray:
 
 
 def _measured(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """key, n_words, kept_sha256 of all words, and the text with a hash of it where the filter wants the key."""
+    """key, n_words, kept_sha256 of all words, and the text (packed) with a hash of it where the filter wants the key."""
     words_of = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = words_of.value
+        bits, pack = words_of.value, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             spot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             hit = (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
@@ -244,7 +245,7 @@ def _measured(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 keep = chosen and value.is_valid
-                texts.append(raw if keep else None)
+                texts.append(pack(raw) if keep else None)
                 marks.append(xxhash.xxh64_intdigest(raw) - 2**63 if keep else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(texts, pa.binary()), pa.array(marks, pa.int64())],
@@ -258,11 +259,11 @@ def _passages(sources: DataFrame, window: int) -> DataFrame:
     """key and words (joined by spaces) of each run of recurring windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, unpack = _WordHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keys, passages = [], []
             for key, text, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = spaced_words(text)
+                words = spaced_words(unpack(text))
                 recurs = np.isin(window_values(words, window, hashes).astype(np.int64), np.array(values, np.int64))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], recurs, [0]]).astype(np.int8)))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -328,8 +329,9 @@ def _streamed(patterns: DataFrame, streams: DataFrame, window: int) -> DataFrame
         passages = sorted(zip(left["key"].to_pylist(), left["words"].to_pylist()))
         automaton = PhraseAutomaton([(key, words.split(b" ")) for key, words in passages], window)
         keys, marks, spans = [], [], []
+        unpack = zstandard.ZstdDecompressor().decompress
         for key, mark, text in zip(right["key"].to_pylist(), right["mark"].to_pylist(), right["text"]):
-            if found := automaton.matches(key, spaced_words(text.as_py())):
+            if found := automaton.matches(key, spaced_words(unpack(text.as_py()))):
                 keys.append(key)
                 marks.append(mark)
                 spans.append([{"from": a, "to": b} for a, b in found])
@@ -345,10 +347,11 @@ def _cut(rows: DataFrame) -> DataFrame:
                            T.StructField("spans", SPANS), T.StructField("kept_sha256", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             removed, out, digests = [], [], []
             for text, spans in zip(batch.column(2), batch.column(3).to_pylist()):
-                words = spaced_words(text.as_py())
+                words = spaced_words(unpack(text.as_py()))
                 found = merged([(s["from"], s["to"]) for s in spans or ()])
                 kept, at = [], 0
                 for a, b in found:
