@@ -121,8 +121,7 @@ def _range_join(classes: DataFrame, cosine: float, block: int) -> DataFrame:
     def join(table: pa.Table) -> pa.Table:
         seeks = table["seeks"].to_numpy()
         ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-        flat = table["vector"].combine_chunks()
-        data = np.array(flat.to_pylist(), float)
+        data = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
         norm = np.sqrt((data * data).sum(axis=1))
         linked = (data[seeks] @ data[~seeks].T) / np.outer(norm[seeks], norm[~seeks]) >= cosine
         linked &= ids[seeks][:, None] != ids[~seeks][None, :]
