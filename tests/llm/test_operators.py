@@ -1,0 +1,246 @@
+"""The operators against brute force, on small tables with nulls, empty and long texts, repeats and clashing names."""
+
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from prioscope.llm import (
+    common, decontamination, embeddings, lines, mixing, preferences, sharding, simhash, substrings, toxicity, warc,
+)
+from prioscope.llm.queries import QUERIES
+
+WORDS = [f"w{i}" for i in range(40)]
+
+
+def text_of(seed, n):
+    draw = np.random.default_rng(seed)
+    return " ".join(draw.choice(WORDS, n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = text_of(1, 60)
+    texts = [base, base, base + " tail", text_of(2, 20) + " " + base, None, "", "  ", "one", "one", text_of(3, 5000), "Ünï " + base.upper()]
+    rows = [(i, t, ["a", "b", None][i % 3], "clash", 1, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, `row` string, slot int, score string").repartition(3)
+
+
+def test_sharding(docs):
+    out = sharding.external_shuffle(docs, shards=4, bucket_bytes=64).collect()
+    sizes = sorted(sum(r["shard"] == s for r in out) for s in range(4))
+    assert len(out) == 11 and sizes[-1] - sizes[0] <= 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    assert {r["row"] for r in out} == {"clash"}
+    assert sharding.external_shuffle(docs.limit(0)).count() == 0
+
+
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    prints = {k: brute_fingerprint(t) for k, t in texts.items()}
+    out = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert {k: r["fingerprint"] % 2**64 for k, r in out.items()} == prints
+    assert out[5]["component_id"] == out[6]["component_id"] == 4 and out[1]["component_id"] == 0
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == {r["component_id"] for r in out.values()}
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1, 64])
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_near_links_reach_all_pairs(spark, bucket, distance):
+    draw = np.random.default_rng(9)
+    values = {int(v) for v in draw.integers(0, 2**63, 60)}
+    for v in list(values)[:30]:
+        for _ in range(3):
+            near = v
+            for b in draw.choice(63, draw.integers(1, 5), replace=False):
+                near ^= 1 << int(b)
+            values.add(near)
+    values = sorted(values)
+    parent = {v: v for v in values}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1:]:
+            if (a ^ b).bit_count() <= distance:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    prints = spark.createDataFrame([(v,) for v in values], "fingerprint bigint")
+    links = common.written(simhash.near_links(prints, distance, bucket))
+    assert all((r["u"] ^ r["v"]).bit_count() <= distance for r in links.collect())
+    found = dict(common.connected_components(links).collect())
+    assert {v: found.get(v, v) for v in values} == {v: find(v) for v in values}
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
+    out = dict(common.connected_components(spark.createDataFrame(chain, "u bigint, v bigint")).collect())
+    assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert common.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def brute_removed(texts, window=13):
+    words = {k: (t or "").encode().split() for k, t in texts.items()}
+    first = {}
+    for k in sorted(words):
+        for i in range(len(words[k]) - window + 1):
+            first.setdefault(tuple(words[k][i:i + window]), k)
+    out = {}
+    for k, ws in words.items():
+        gone = {j for i in range(len(ws) - window + 1) if first[tuple(ws[i:i + window])] < k for j in range(i, i + window)}
+        kept = b" ".join(w for j, w in enumerate(ws) if j not in gone)
+        out[k] = (len(ws), len(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_substrings(docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.repeated_spans(docs).collect()}
+    assert out == brute_removed(texts)
+    assert substrings.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_substrings_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWD", 2)
+    passage = text_of(5, 30)
+    texts = {i: f"a{i} {text_of(100 + i, 8)} {passage} z{i} {text_of(7, 14) if i % 3 else ''}" for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.repeated_spans(df).collect()}
+    assert out == brute_removed(texts)
+
+
+def test_embeddings(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i, draw.normal(size=8).tolist(), i % 2) for i in range(30)]
+    rows += [(100 + i, (np.array(rows[i][1]) * 2 + draw.normal(size=8) * 0.05 * (i % 4)).tolist(), i % 2) for i in range(30)]
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], None), (202, [0.0] * 8, 0), (203, None, 0), (204, [float("nan")] * 8, 0), (205, [], 1)]
+    out = {r["vec_id"]: r for r in embeddings.embedding_duplicates(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block=4).collect()}
+    good = [(k, np.array(v), y) for k, v, y in rows if k not in (201, 202, 203, 204, 205)]
+    near = {k: {j for j, w, z in good if j != k and y == z and v @ w / math.sqrt((v @ v) * (w @ w)) >= 0.98} for k, v, y in good}
+    assert all(out[k]["n_links"] == len(n) for k, n in near.items())
+    assert out[200]["component_id"] == 0 and not out[200]["kept"] and out[201]["component_id"] == 201 and out[204]["n_links"] == 0
+
+
+def test_suffix_array_and_search():
+    draw = np.random.default_rng(4)
+    text = np.concatenate([draw.integers(1, 4, 300), np.ones(50, int), draw.integers(1, 4, 300)])
+    index = decontamination.FMIndex(text)
+    for n in (1, 3, 6):
+        patterns = draw.integers(1, 5, (30, n))
+        start, end = index.search(patterns)
+        for p, a, b in zip(patterns, start, end):
+            expected = [i for i in range(len(text) - n + 1) if (text[i:i + n] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == expected
+
+
+def test_decontamination(spark, docs):
+    items = [(1, text_of(1, 60)), (2, "ONE"), (3, None), (4, ""), (10, text_of(1, 60).upper()), (5, "never seen words here")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (1 << 20, 200):
+        out = {r["doc_id"]: r for r in decontamination.mark_contamination(docs, bench, block_bytes=block).collect()}
+        assert out[0]["items"] == ["1", "10"] and out[0]["spans"] == [(0, 60)] and out[0]["clean_text"] == ""
+        assert out[7]["items"] == ["2"] and out[2]["clean_text"] == " tail" and out[4]["clean_text"] is None
+        assert out[10]["clean_text"] == "Ünï " and out[9]["n_words"] == 5000
+        assert [(s["from"], s["to"]) for s in out[3]["spans"]] == [(20, 80)]
+
+
+def test_mixing(spark):
+    draw = np.random.default_rng(6)
+    rows = [(i, text_of(i, int(draw.integers(0, 80))), ["a", "b", "c", None][i % 7 % 4]) for i in range(900)] + [(5, text_of(5, 9), "a")] * 30
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = mixing.plan_mix(df, chunk=64).collect()
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.plan_mix(df.repartition(5), chunk=64).collect()))
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum({r["source"]: r["target"] for r in plan}.values()) - 1.5 * total) < 1e-6
+    for source in ("a", "b", "c", None):
+        own = [r for r in plan if r["source"] == source]
+        assert own[0]["target"] <= 2 * own[0]["source_size"]
+        assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 80
+        assert all(r["copies"] <= 2 * r["rows"] for r in own)
+    assert mixing.mix(df).columns == df.columns and mixing.plan_mix(df.limit(0)).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    long = "<p>" + "é" * 100
+    pages = spark.createDataFrame([(3, "http://a/\n", long), (2, "u", long), (9, None, long), (4, "v", "short"), (5, "v", "short"), (6, "w", None),
+                                   (None, "n", "x")], "page_id bigint, url string, html string")
+    out = {r["page_id"]: r for r in warc.archived_pages(pages).collect()}
+    assert out[2]["record_type"] == "response" and out[3]["refers_to"] == out[9]["refers_to"] == 2
+    assert out[9]["payload_bytes"] == 203 and out[3]["payload_digest"] == hashlib.sha256(long.encode()).hexdigest()
+    assert out[4]["record_type"] == out[5]["record_type"] == "response" and out[6]["payload_bytes"] == 0 and None in out
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(warc.page_records(pages), path)
+    some = warc.read_archive(spark, path).where("record_type = 'response' and target_uri = 'v'")
+    assert some.count() == 2
+    assert {bytes(r["payload"]) for r in some.collect()} == {b"short"}
+    for file in (tmp_path / "archive").glob("*.warc.gz"):
+        assert zlib.decompressobj(31).decompress(file.read_bytes()).startswith(b"WARC/1.1")
+
+
+def test_preferences(spark):
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "p"), (1, 1, "assistant", "b"), (1, 2, "user", "c"),
+             (2, 0, "user", "alone"), (None, 0, "user", "lost"), (4, 0, None, None), (4, 1, "assistant", "a"), (5, 0, "assistant", "a")]
+    talks = preferences.conversations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    out = {r["conv_id"]: r for r in preferences.format_preferences(preferences.swapped_replies(talks)).collect()}
+    assert set(out) == {0, 1, 4, 5} and out[0]["prompt"] == "<|im_start|>user\nq<|im_end|>\n"
+    assert out[0]["rejected_text"] == "<|im_start|>assistant\nb<|im_end|>\n" and out[0]["chosen_mask"] == "0:22,1:11,0:1"
+    assert out[5]["n_prompt_turns"] == 1 and out[5]["chosen_text"] == ""
+
+
+def test_lines(spark):
+    rows = [(i, f"own {i}\nshared\n\nrare", f"s{i % 12}") for i in range(24)] + [(50, None, "s1"), (51, "", None), (52, "shared", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("doc_id", common.column("doc_id"))
+    out = {r["doc_id"]: r for r in lines.drop_boilerplate(df, min_sites=12).collect()}
+    assert out[0]["kept_text"] == "own 0\n" and out[0]["n_removed"] == 2
+    assert out[50]["n_lines"] == 0 and out[52]["n_removed"] == 1
+    assert all(r["n_removed"] == 0 for r in lines.drop_boilerplate(df, min_sites=13).collect())
+
+
+def test_block_max_is_exact():
+    draw = np.random.default_rng(8)
+    vectors = []
+    for _ in range(500):
+        raw = {int(t): float(draw.random()) for t in draw.choice(30, 4, replace=False)}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        vectors.append({t: w / norm for t, w in raw.items()})
+    index = toxicity.BlockMaxIndex(vectors, 30)
+    for query in vectors[:40]:
+        ids, scores = index.nearest(query, 15)
+        exact = sorted(((-sum(w * v.get(t, 0) for t, w in query.items()), i) for i, v in enumerate(vectors)))[:15]
+        assert np.allclose(scores, [-s for s, _ in exact])
+
+
+def test_toxicity(spark):
+    rows = [(i, f"{text_of(i, 30)} {'vile' if i % 4 == 0 else 'fine'}") for i in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(3, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(df, marks.where(~toxicity.held_out()))
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, model).collect()}
+    assert all((out[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in range(400)) and 0 <= out[900] == out[901] < 0.3
+    none = toxicity.fit_toxicity(df, marks.limit(0))
+    assert {r["score"] for r in toxicity.score_toxicity(df, none).collect()} == {0.5}
+
+
+def test_pipeline(spark, small):
+    out = corpus_pipeline.run(spark, small)
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} and out.count() > 0
+
+
+def test_names():
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 11)]
