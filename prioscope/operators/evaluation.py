@@ -113,7 +113,7 @@ def threshold_sweep(df: DataFrame, label: str, probability: str, thresholds: Seq
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight n / (2 n_c) of each of the two classes."""
     row = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(label) == c).alias(f"n{c}") for c in (0, 1)])
-    return row.selectExpr("stack(2, 0, n0, n / (2 * n0), 1, n1, n / (2 * n1)) AS (label, n, weight)")
+    return row.selectExpr("stack(2, 0, n0, try_divide(n, 2 * n0), 1, n1, try_divide(n, 2 * n1)) AS (label, n, weight)")
 
 
 def content_counts(df: DataFrame, trivial: Sequence[str] = lx.TRIVIAL_CONTENT_32) -> DataFrame:

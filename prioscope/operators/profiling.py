@@ -60,7 +60,7 @@ def label_distribution(df: DataFrame, column: str, labels: Sequence[str] = LABEL
         F.count_if(F.col(column) == label).alias(f"m{i}") for i, label in enumerate(labels)])
     pairs = ", ".join(f"{i}, '{label}', m{i}" for i, label in enumerate(labels))
     rows = counts.selectExpr("_all", f"stack({len(labels)}, {pairs}) AS (position, label, n)")
-    return rows.select("position", "label", "n", F.bround(F.col("n") * 100 / F.col("_all"), 1).alias("percent"))
+    return rows.select("position", "label", "n", F.bround(F.try_divide(F.col("n") * 100, F.col("_all")), 1).alias("percent"))
 
 
 def class_balance(df: DataFrame, column: str = "mismatch") -> DataFrame:
@@ -70,6 +70,6 @@ def class_balance(df: DataFrame, column: str = "mismatch") -> DataFrame:
     consistent = F.col("total") - F.col("mismatch_count")
     return rows.select(
         "total", "mismatch_count", consistent.alias("consistent_count"),
-        F.bround(F.col("mismatch_count") * 100 / F.col("total"), 1).alias("mismatch_percent"),
-        F.bround(consistent * 100 / F.col("total"), 1).alias("consistent_percent"),
+        F.bround(F.try_divide(F.col("mismatch_count") * 100, F.col("total")), 1).alias("mismatch_percent"),
+        F.bround(F.try_divide(consistent * 100, F.col("total")), 1).alias("consistent_percent"),
     )

@@ -223,3 +223,13 @@ def test_absent_optional_columns_are_null(spark):
 
 def test_labels_are_the_scale():
     assert LABELS == ("Low", "Medium", "High", "Critical")
+
+
+def test_shares_of_empty_and_one_class_tables(spark):
+    none = spark.createDataFrame([], "label int, mismatch int, level string")
+    from prioscope.operators import evaluation as ev, profiling as pr
+
+    assert pr.class_balance(none).first()["mismatch_percent"] is None
+    assert {r["percent"] for r in pr.label_distribution(none, "level").collect()} == {None}
+    one = spark.createDataFrame([(1,)], "label int")
+    assert {r["label"]: r["weight"] for r in ev.class_weights(one, "label").collect()} == {0: None, 1: 0.5}
