@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
 )
@@ -18,6 +20,8 @@ from .filling import DEFAULT_MINUTES
 from .terms import TfidfModel
 
 CALIBRATION_FOLDS = 5
+# Fits that run side by side, as in a parallel cross-validation.
+PARALLEL_FITS = 4
 
 
 @dataclass(frozen=True)
@@ -34,7 +38,8 @@ class Settings:
     sampling: str = "weights"       # or "oversample"
     logistic_c: float = 1.0
     svm_c: float = 0.5
-    linear_iterations: int = 100
+    logistic_iterations: int = 1000
+    svm_iterations: int = 2000
     trees: int = 200
     depth: int = 5
     step: float = 0.1
@@ -93,8 +98,8 @@ class MismatchModel:
 
     features: FeatureModel
     logistic: LogisticRegressionModel
-    svm: LinearSVCModel
-    platt: tuple[float, float]
+    svms: list[LinearSVCModel]         # one per calibration fold
+    platts: list[tuple[float, float]]  # slope and intercept of each
     trees: GBTClassificationModel
     threshold: float = 0.5
 
@@ -104,16 +109,18 @@ class MismatchModel:
 
     def score_features(self, df: DataFrame) -> DataFrame:
         logistic = self.logistic.copy().setProbabilityCol("_p1").setRawPredictionCol("").setPredictionCol("")
-        svm = self.svm.copy().setRawPredictionCol("_margin").setPredictionCol("")
         trees = self.trees.copy().setProbabilityCol("_p3").setRawPredictionCol("").setPredictionCol("")
-        out = trees.transform(svm.transform(logistic.transform(df)))
-        slope, intercept = self.platt
-        margin = vector_to_array("_margin")[1]
+        out = trees.transform(logistic.transform(df))
+        chance, margins = F.lit(0.0), []
+        for i, (svm, (slope, intercept)) in enumerate(zip(self.svms, self.platts)):
+            margins.append(f"_margin{i}")
+            out = svm.copy().setRawPredictionCol(margins[-1]).setPredictionCol("").transform(out)
+            chance = chance + 1 / (1 + F.exp(-(vector_to_array(margins[-1])[1] * slope + intercept)))
         out = out.withColumns({
             "prob_logistic": vector_to_array("_p1")[1],
-            "prob_svm": 1 / (1 + F.exp(-(margin * slope + intercept))),
+            "prob_svm": chance / len(self.svms),
             "prob_trees": vector_to_array("_p3")[1],
-        }).drop("_p1", "_margin", "_p3")
+        }).drop("_p1", *margins, "_p3")
         return out.withColumn("prob_mismatch", (F.col("prob_logistic") + F.col("prob_svm") + F.col("prob_trees")) / 3)
 
 
@@ -126,22 +133,36 @@ def _fit_platt(svm: LinearSVCModel, held_out: DataFrame) -> tuple[float, float]:
 
 
 def fit_models(train: DataFrame, features: FeatureModel, settings: Settings) -> MismatchModel:
-    """Fit the three models on rows with ticket_id, label, weight and features."""
-    rows = train.count()
+    """Fit the three models on rows with ticket_id, label, weight and features.
+
+    The margin classifier is fitted once per fold on the other folds and
+    calibrated on its own; its probability is the mean of all of these.
+    """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    logistic = LogisticRegression(
-        regParam=1 / (settings.logistic_c * rows), maxIter=settings.linear_iterations, standardization=False, **common,
-    ).fit(train)
     fold = F.pmod(F.xxhash64("ticket_id"), F.lit(CALIBRATION_FOLDS))
-    svm = LinearSVC(
-        regParam=1 / (settings.svm_c * rows), maxIter=settings.linear_iterations, standardization=False, **common,
-    ).fit(train.where(fold != 0))
-    platt = _fit_platt(svm, train.where(fold == 0))
-    trees = GBTClassifier(
-        maxIter=settings.trees, maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.subsample,
-        seed=settings.seed, **common,
-    ).fit(train)
-    return MismatchModel(features, logistic, svm, platt, trees)
+    sizes = {r["fold"]: r["count"] for r in train.groupBy(fold.alias("fold")).count().collect()}
+    rows = sum(sizes.values())
+
+    def fit_logistic() -> LogisticRegressionModel:
+        return LogisticRegression(regParam=1 / (settings.logistic_c * rows), maxIter=settings.logistic_iterations,
+                                  standardization=False, **common).fit(train)
+
+    def fit_svm(own: int) -> tuple[LinearSVCModel, tuple[float, float]]:
+        others = rows - sizes[own]
+        svm = LinearSVC(regParam=1 / (settings.svm_c * others), maxIter=settings.svm_iterations,
+                        standardization=False, **common).fit(train.where(fold != own))
+        return svm, _fit_platt(svm, train.where(fold == own))
+
+    def fit_trees() -> GBTClassificationModel:
+        return GBTClassifier(maxIter=settings.trees, maxDepth=settings.depth, stepSize=settings.step,
+                             subsamplingRate=settings.subsample, seed=settings.seed, **common).fit(train)
+
+    # The trees take longest.
+    fits = [fit_trees, fit_logistic, *[lambda own=own: fit_svm(own) for own in sorted(sizes)]]
+    target = inheritable_thread_target(train.sparkSession)
+    with ThreadPool(PARALLEL_FITS) as pool:
+        trees, logistic, *calibrated = [r.get() for r in [pool.apply_async(target(f)) for f in fits]]
+    return MismatchModel(features, logistic, [svm for svm, _ in calibrated], [platt for _, platt in calibrated], trees)
 
 
 @dataclass(frozen=True)
@@ -157,10 +178,13 @@ class Training:
 def train_classifier(df: DataFrame, settings: Settings = Settings(), key: str = "ticket_id") -> Training:
     """Split, fit, choose the threshold on validation rows and measure on test rows.
 
-    `df` holds cleaned tickets with phrase hits and the label `mismatch`.
+    `df` holds cleaned tickets with phrase hits and the label `mismatch`, a stage
+    table for preference. Labels other than 0 and 1, and tables without both, raise.
     """
-    split = stratified_split(written(df, "labelled"), "mismatch", key)
-    split = written(split, "split")
+    split = written(stratified_split(df, "mismatch", key), "split")
+    kinds = {r["mismatch"] for r in split.select("mismatch").distinct().limit(3).collect()}
+    if kinds != {0, 1}:
+        raise ValueError(f"the label must be 0 and 1, found {sorted(kinds, key=str)}")
     train_rows = split.where("split = 'train'")
     features = FeatureModel.fit(train_rows, settings)
     table = features.transform(split.withColumn("label", F.col("mismatch"))).select(
@@ -178,7 +202,7 @@ def train_classifier(df: DataFrame, settings: Settings = Settings(), key: str =
     validation = held_out.where("split = 'val'")
     sweep = threshold_sweep(validation, "label", "prob_mismatch")
     best = sweep.where("is_best").first()["threshold"]
-    model = MismatchModel(features, model.logistic, model.svm, model.platt, model.trees, best)
+    model = replace(model, threshold=best)
 
     test = held_out.where("split = 'test'").select(
         "ticket_id", (F.col("prob_mismatch") >= best).cast("int").alias("predicted_label"),

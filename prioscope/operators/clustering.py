@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
@@ -11,16 +13,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.severity import LABELS, severity_label
 
 RESTARTS = 10
+# Restarts that run side by side.
+PARALLEL_FITS = 4
 MAX_ITERATIONS = 300
+DEFAULT_SEVERITY = "Medium"
 
 
 def rank_clusters(df: DataFrame, by: str = "time", minutes: str = "resolution_minutes",
                   cluster: str = "cluster_id") -> DataFrame:
     """Severity per cluster: by mean time ascending, or by size descending.
 
-    At most four clusters have a severity; more raise at run time.
+    At most four clusters have a severity; more raise at run time. Tickets
+    without a cluster do not count.
     """
-    stats = df.groupBy(cluster).agg(F.avg(minutes).alias("mean_minutes"), F.count("*").alias("tickets"))
+    stats = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.avg(minutes).alias("mean_minutes"), F.count("*").alias("tickets"))
     if by == "time":
         order = Window.orderBy("mean_minutes", cluster)
     elif by == "size":
@@ -33,19 +39,24 @@ def rank_clusters(df: DataFrame, by: str = "time", minutes: str = "resolution_mi
 
 
 def attach_cluster_severity(df: DataFrame, ranking: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    """Look up each ticket's cluster severity; the ranking has at most four rows."""
-    return df.join(F.broadcast(ranking.select(cluster, "cluster_severity")), cluster)
+    """Look up each ticket's cluster severity; tickets without a ranked cluster get the default.
+
+    The ranking has at most four rows.
+    """
+    ranked = ranking.where(F.col(cluster).isNotNull()).select(cluster, "cluster_severity")
+    return df.join(F.broadcast(ranked), cluster, "left").withColumn(
+        "cluster_severity", F.coalesce("cluster_severity", F.lit(DEFAULT_SEVERITY)))
 
 
 def fit_clusters(vectors: DataFrame, k: int = len(LABELS), seeds: Sequence[int] = range(42, 42 + RESTARTS),
                  max_iter: int = MAX_ITERATIONS, features: str = "features") -> KMeansModel:
-    """Best of several k-means runs by training cost; persist `vectors` first."""
-    best = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="cluster_id").fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """Best of several k-means runs by training cost, the first of equal ones; persist `vectors` first."""
+    def fit(seed: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="cluster_id").fit(vectors)
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), seeds, chunksize=1)
+    return min(models, key=lambda model: model.summary.trainingCost)
 
 
 def dense_features(df: DataFrame, array: str, out: str = "features") -> DataFrame:

@@ -17,7 +17,12 @@ def mismatch_type_counts(df: DataFrame) -> DataFrame:
     return flagged.groupBy("mismatch_type").agg(F.count("*").alias("n"))
 
 
-def delta_heatmap(df: DataFrame, channels: Sequence[str], category: str = "category", channel: str = "channel") -> DataFrame:
-    """Mean severity delta, one row per category and one column per listed channel."""
+def delta_heatmap(df: DataFrame, channels: Sequence[str], category: str = "category", channel: str = "channel",
+                  others: str = "Other") -> DataFrame:
+    """Mean severity delta, one row per category and one column per listed channel.
+
+    All channels that are not listed, null included, share the column `others`.
+    """
     means = [F.avg(F.when(F.col(channel) == name, F.col("severity_delta"))).alias(name) for name in channels]
-    return df.groupBy(category).agg(*means)
+    listed = F.coalesce(F.col(channel).isin(*channels), F.lit(False))
+    return df.groupBy(category).agg(*means, F.avg(F.when(~listed, F.col("severity_delta"))).alias(others))

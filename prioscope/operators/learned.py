@@ -83,6 +83,8 @@ def regression_signal(
     for column in ("channel", "category"):
         known = rows.withColumn(f"_{column}", F.coalesce(column, F.lit("Unknown")))
         rows = fit_label_encoder(known.select(f"_{column}"), f"_{column}", f"_{column}_code").transform(known)
+        # Codes are plain numbers to the trees, however many there are.
+        rows = rows.withColumn(f"_{column}_code", F.col(f"_{column}_code").alias(f"_{column}_code", metadata={}))
     rows = VectorSizeHint(inputCol="_terms", size=len(tfidf.terms), handleInvalid="optimistic").transform(rows)
     assembler = VectorAssembler(inputCols=["_terms", "_channel_code", "_category_code"], outputCol="_features")
     table = written(assembler.transform(rows).select(*df.columns, "_label", "_features"), "regression")

@@ -1,9 +1,9 @@
 """Exact order statistics and row numbers without gathering rows in one task.
 
-Rows are first counted per coarse bucket, which locates the wanted ranks; only
-the few buckets that hold one are then looked at, value by value. Both counts
-are combined before the shuffle, so a value shared by a third of all rows costs
-one row per task.
+Rows are first counted per coarse bucket, which locates the wanted ranks; the
+values of the few buckets that hold one are then counted and narrowed twice more
+before a task sorts what is left. All counts are combined before the shuffle, so
+a value shared by a third of all rows costs one row per task.
 """
 
 from __future__ import annotations
@@ -13,39 +13,64 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.tables import written
+
 # Buckets per factor of two; doubles span at most 2 x 2,100 such factors, which
 # bounds the bucket table whatever the data.
 BUCKETS_PER_OCTAVE = 512
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE
 NO_VALUE = 2**62
-# Rows per bucket of an integer key when numbering rows.
-KEYS_PER_BUCKET = 100_000
+# Parts of a bucket per narrowing: two leave at most 2**12 different doubles.
+PARTS = 2**16
+_LARGEST = sys.float_info.max
+# monotonically_increasing_id holds the partition above these bits and the place in it below.
+_PLACE_BITS = 33
 
 
 def magnitude_bucket(value: Column) -> Column:
     """Order-preserving coarse bucket of a double."""
     # Infinity shares the last bucket.
-    octave = F.floor(F.log2(F.least(F.abs(value), F.lit(sys.float_info.max))) * BUCKETS_PER_OCTAVE) + _OFFSET
+    octave = F.floor(F.log2(F.least(F.abs(value), F.lit(_LARGEST))) * BUCKETS_PER_OCTAVE) + _OFFSET
     return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * octave)
 
 
+def part_of_doubles(value: Column, low: Column, high: Column) -> Column:
+    """Order-preserving part of `value` between the finite ends of its bucket; infinities have parts of their own."""
+    bottom, top = F.greatest(low, F.lit(-_LARGEST)), F.least(high, F.lit(_LARGEST))
+    inside = F.floor(F.coalesce(F.try_divide(value - bottom, top - bottom), F.lit(0.0)) * (PARTS - 1))
+    return F.when(value > _LARGEST, F.lit(PARTS).cast("bigint")).when(
+        value < -_LARGEST, F.lit(-1).cast("bigint")).otherwise(inside)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by equal keys, a null key being equal to a null key; columns of `left`, then the others of `right`."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def values_at_ranks(
     rows: DataFrame, bucket: Column, ranks: Callable[[Column, Column], Column], groups: Sequence[str] = (),
     bucket_type: str = "bigint",
+    parts: Sequence[Callable[[Column, Column, Column], Column]] = (part_of_doubles, part_of_doubles),
 ) -> DataFrame:
     """Values at given 1-based ranks, per group: columns groups, target, value, total.
 
     `rows` holds groups and value. `bucket` is a coarse key of bounded range that
-    never decreases with value. `ranks` maps a group's row total and the largest
-    total of any group to an array of ranks, of fixed length; rank 0 finds
-    nothing. Groups must be few: they are broadcast.
+    never decreases with value; `parts` divide a bucket further, from value and
+    the smallest and largest value that is left. `ranks` maps a group's row total
+    and the largest total of any group to an array of ranks, of fixed length; rank
+    0 finds nothing. A null group is a group like any other.
     """
     # Rows without a value go to a bucket of their own, of size 0.
     keyed = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(NO_VALUE).cast(bucket_type)))
     running = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups)
-    per_bucket = keyed.groupBy(*groups, "_bucket").agg(F.count("value").alias("_size")).select(
-        *groups, "_bucket", "_size",
+    per_bucket = keyed.groupBy(*groups, "_bucket").agg(
+        F.count("value").alias("_size"), F.min("value").alias("_low"), F.max("value").alias("_high")).select(
+        *groups, "_bucket", "_size", "_low", "_high",
         (F.sum("_size").over(running) - F.col("_size")).alias("_before"),
         F.sum("_size").over(whole).alias("total"),
     )
@@ -53,11 +78,27 @@ def values_at_ranks(
     per_bucket = per_bucket.withColumn("_largest", largest)
     local = F.transform(ranks(F.col("total"), F.col("_largest")), lambda rank, i: F.struct(
         i.alias("target"), (rank - F.col("_before")).alias("_local")))
-    wanted = per_bucket.select(*groups, "_bucket", "total", F.explode(F.filter(
+    wanted = per_bucket.select(*groups, "_bucket", "_low", "_high", "total", F.explode(F.filter(
         local, lambda t: (t["_local"] > 0) & (t["_local"] <= F.col("_size")))).alias("_t"))
-    wanted = wanted.select(*groups, "_bucket", "total", "_t.*")
-    inside = keyed.join(F.broadcast(wanted), [*groups, "_bucket"]).groupBy(
-        *groups, "target", "_local", "total", "value").agg(F.count("*").alias("_n"))
+    wanted = wanted.select(*groups, "_bucket", "_low", "_high", "total", "_t.*")
+    counted = null_safe_join(keyed, wanted, [*groups, "_bucket"]).groupBy(
+        *groups, "target", "_local", "total", "value").agg(
+        F.count("*").alias("_n"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+    inside = counted
+    for part in parts:
+        # The part that holds the rank: at most as many rows per target as there are parts.
+        upto = Window.partitionBy(*groups, "target").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        sizes = inside.withColumn("_part", part(F.col("value"), F.col("_low"), F.col("_high"))).groupBy(
+            *groups, "target", "_local", "_part").agg(
+            F.sum("_n").alias("_size"), F.min("value").alias("_from"), F.max("value").alias("_to"))
+        before = F.col("_reached") - F.col("_size")
+        held = sizes.withColumn("_reached", F.sum("_size").over(upto)).where(
+            (before < F.col("_local")) & (F.col("_local") <= F.col("_reached"))).select(
+            *groups, "target", "_from", "_to", (F.col("_local") - before).alias("_rest"))
+        inside = null_safe_join(counted, held, [*groups, "target"]).where(
+            F.col("value").between(F.col("_from"), F.col("_to"))).select(
+            *groups, "target", F.col("_rest").alias("_local"), "total", "value", "_n",
+            F.col("_from").alias("_low"), F.col("_to").alias("_high"))
     upto = Window.partitionBy(*groups, "target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     reached = inside.withColumn("_reached", F.sum("_n").over(upto))
     hit = (F.col("_reached") - F.col("_n") < F.col("_local")) & (F.col("_local") <= F.col("_reached"))
@@ -115,15 +156,20 @@ def with_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
-    """Zero-based position in the order of a unique integer key.
+    """Zero-based position in the order of a key: nulls first, equal keys in the order of a row hash.
 
-    Rows are numbered inside key ranges of fixed width, so no task sees more
-    than that many; offsets come from the counts per range.
+    Rows are dealt by ranges of key and hash, so neither sparse keys nor a key
+    that a third of all rows share end in one task, and written in order; the
+    counts per range give the offsets.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / KEYS_PER_BUCKET))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    numbered = ranged.withColumn("_inside", inside).join(offsets, "_range")
-    return numbered.withColumn(name, F.col("_offset") + F.col("_inside") - 1).drop("_range", "_inside", "_offset")
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns))
+    placed = hashed.repartitionByRange(key, "_hash").sortWithinPartitions(key, "_hash").withColumn(
+        "_at", F.monotonically_increasing_id())
+    placed = written(placed.drop("_hash"), "numbered")
+    part = F.shiftright("_at", _PLACE_BITS)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size")).select(
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    # One row per range.
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)).select(*df.columns, name)

@@ -18,7 +18,7 @@ from ..functions.severity import mismatch_type, severity_from_probability, sever
 from ..operators import (
     cleaning, clustering, dashboards, dossiers, evaluation, features, filling, fusion, learned, profiling, signals, terms,
 )
-from ..operators.classifier import Settings, Training, train_classifier
+from ..operators.classifier import Training, train_classifier
 from ..sources.composed import CHANNEL_NAMES, composed_tickets, read_table, spread
 from ..sources.resolver import to_tickets
 from ..sources.tables import written
@@ -302,7 +302,7 @@ def quartile_bucket(spark: SparkSession, d: str) -> DataFrame:
 def fuse_ceil_mean(spark: SparkSession, d: str) -> DataFrame:
     """Signal 1, joined by ticket id as a table of its own, fused with the clusters."""
     tickets = matched(spark, d)
-    signal = signals.tier_signal(tickets).where("channel <> 'Unknown'").select("ticket_id", "llm_severity_score")
+    signal = signals.tier_signal(tickets).select("ticket_id", "llm_severity_score")
     joined = fusion.attach_signal(tickets, signal, "llm_severity_score")
     return fusion.fuse(with_cluster_severity(joined)).select(
         "ticket_id", "llm_severity_score", "cluster_severity", "fused_num", "fused_severity")
@@ -487,7 +487,7 @@ def overall_counts(spark: SparkSession, d: str) -> DataFrame:
 def delta_heatmap(spark: SparkSession, d: str) -> DataFrame:
     out = dashboards.delta_heatmap(light_labelled(spark, d), CHANNEL_NAMES)
     return out.select("category", *[F.round(F.col(f"`{c}`"), 6).alias(c.lower().replace(" ", "_"))
-                                    for c in CHANNEL_NAMES])
+                                    for c in (*CHANNEL_NAMES, "Other")])
 
 
 # --- classifier measures ----------------------------------------------------
@@ -591,26 +591,20 @@ def standardize(spark: SparkSession, d: str) -> DataFrame:
 
 # --- learned operators: rows and invariants only -----------------------------
 
-# Small models keep the check short; the operators default to the published sizes.
-SMALL_CLUSTERING = {"k": 50, "seeds": (42, 43, 44), "max_iter": 50}
-SMALL_REGRESSION = {"trees": 10}
-SMALL_MODEL = Settings(trees=10, linear_iterations=50)
-
-
 @query
 def lsa_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return learned.with_latent_vectors(texts(spark, d), k=SMALL_CLUSTERING["k"])[0].select("ticket_id", "vector")
+    return learned.with_latent_vectors(texts(spark, d))[0].select("ticket_id", "vector")
 
 
 @query
 def cluster_severity(spark: SparkSession, d: str) -> DataFrame:
-    return learned.cluster_signal(clean(spark, d), **SMALL_CLUSTERING).select(
+    return learned.cluster_signal(clean(spark, d)).select(
         "ticket_id", "cluster_id", "cluster_severity")
 
 
 @query
 def regression_severity(spark: SparkSession, d: str) -> DataFrame:
-    return learned.regression_signal(clean(spark, d), **SMALL_REGRESSION).select(
+    return learned.regression_signal(clean(spark, d)).select(
         "ticket_id", "predicted_minutes", "regression_severity")
 
 
@@ -620,16 +614,27 @@ def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     vectors = clustering.dense_features(
         read_table(spark, d, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>")), "vector")
     vectors = written(vectors.select("vec_id", "features"), "embeddings")
-    return clustering.fit_clusters(vectors, seeds=(42, 43, 44), max_iter=50).transform(vectors).select(
+    return clustering.fit_clusters(vectors).transform(vectors).select(
         "vec_id", "cluster_id")
 
 
+# Fits of this process, by application and folder: four queries read the same one.
+_FITTED: dict[tuple[str, str], tuple[DataFrame, Training]] = {}
+
+
 def _training(spark: SparkSession, d: str) -> tuple[DataFrame, Training]:
-    """Classifier of the fused label from signal 1 and the stand-in clusters."""
+    """Classifier of the fused label from signal 1 and the stand-in clusters, fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = _fitted(spark, d)
+    return _FITTED[key]
+
+
+def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, Training]:
     table = fusion.label_mismatch(fusion.fuse(with_cluster_severity(
         written(signals.tier_signal(matched(spark, d)), "matched"))))
     table = written(table, "classifier-input")
-    return table, train_classifier(table, SMALL_MODEL)
+    return table, train_classifier(table)
 
 
 @query

@@ -9,7 +9,7 @@ from ..functions import lexicons as lx
 from ..operators.evaluation import THRESHOLDS
 
 TICKETS = """WITH subj(sidx, subject) AS (VALUES
- (0,'Small question about database access'),(1,'Login failed'),(2,'URGENT please help now'),(3,'Routine check'),
+ (0,'Small question for the database page'),(1,'Login failed'),(2,'URGENT please help now'),(3,'Routine check'),
  (4,'Feature request'),(5,'SLA BREACH'),(6,'Billing error'),(7,'Hello')),
 prob(pidx, problem) AS (VALUES
  (0,'we had a data loss last night'),(1,'the export is not working'),(2,'the page is slow'),
@@ -19,10 +19,10 @@ prob(pidx, problem) AS (VALUES
  (11,'the payment failed with an error'),(12,'this issue is a problem'),
  (13,'the server is down, escalate immediately'),(14,'thank you for the nice service')),
 ctx(cidx, context) AS (VALUES
- (0,'No rush but wanted to let you know'),(1,'I can''t log in'),(2,'Please fix it'),(3,'It never worked'),
+ (0,'No rush, tell me when it suits'),(1,'I can''t log in'),(2,'Please fix it'),(3,'It never worked'),
  (4,'We have tried to restart the device and to clear the cache and to read the manual and to ask a friend and then to wait for one more day but the result stays the same as it was before we started with all of that work'),
  (5,'Thanks'),(6,'It is critical for all users'),(7,'I am unable to use it and it doesn''t load'),
- (8,'This broke the welcome email banner'),(9,'broken broken broken'),(10,'Not, not and not')),
+ (8,'This broke the welcome email banner'),(9,'Broken on Monday, broken on Tuesday, still broken'),(10,'Not, not and not')),
 tickets AS (
  SELECT concat('T', CAST(e.event_id AS VARCHAR)) AS ticket_id, e.event_id AS ticket_num,
   s.subject AS ticket_subject,
@@ -345,7 +345,7 @@ SELECT ticket_id, CASE WHEN predicted_minutes >= p75 THEN 'Critical' WHEN predic
  WHEN predicted_minutes >= p25 THEN 'Medium' ELSE 'Low' END AS regression_severity FROM filled, c""")
 
 # --- fusion
-SQL["fuse_ceil_mean"] = clean(FILLED + f""", sig AS (SELECT ticket_id, {tier_case()} AS s FROM texted WHERE channel <> 'Unknown'),
+SQL["fuse_ceil_mean"] = clean(FILLED + f""", sig AS (SELECT ticket_id, {tier_case()} AS s FROM texted),
 j AS (SELECT f.ticket_id, coalesce(s, 'Medium') AS llm_severity_score, r,
   {severity_name('r')} AS cluster_severity FROM filled f LEFT JOIN sig USING (ticket_id) JOIN ranked USING (cluster_id)),
 u AS (SELECT *, CAST(least(ceil(({severity_num('llm_severity_score')} + r) / 2.0), 4) AS INT) AS fused_num FROM j)
@@ -518,7 +518,9 @@ SQL["overall_counts"] = AUDITED + """ SELECT count(*) FILTER (predicted_label =
  count(*) FILTER (predicted_label = 1) AS mismatch FROM typed"""
 SQL["delta_heatmap"] = light("SELECT category, " + ", ".join(
     f"round(avg(severity_delta) FILTER (channel = '{c}'), 6) AS {c.lower().replace(' ', '_')}"
-    for c in ("Chat", "Email", "Phone", "Social Media", "Unknown", "Web Form")) + " FROM light GROUP BY category")
+    for c in ("Chat", "Email", "Phone", "Social Media", "Unknown", "Web Form"))
+    + ", CAST(round(avg(severity_delta) FILTER (channel IS NULL OR channel NOT IN "
+    "('Chat', 'Email', 'Phone', 'Social Media', 'Unknown', 'Web Form')), 6) AS DOUBLE) AS other FROM light GROUP BY category")
 
 # --- measures
 _CELLS = "(VALUES (0,0),(0,1),(1,0),(1,1)) AS c(true_label, predicted_label)"

@@ -12,7 +12,7 @@ from ..functions.matching import sql_text
 
 # --- Fixed values: text blocks of the composed tickets ----------------------
 SUBJECTS = (
-    "Small question about database access", "Login failed", "URGENT please help now", "Routine check",
+    "Small question for the database page", "Login failed", "URGENT please help now", "Routine check",
     "Feature request", "SLA BREACH", "Billing error", "Hello",
 )
 PROBLEMS = (
@@ -24,11 +24,11 @@ PROBLEMS = (
     "the server is down, escalate immediately", "thank you for the nice service",
 )
 CONTEXTS = (
-    "No rush but wanted to let you know", "I can't log in", "Please fix it", "It never worked",
+    "No rush, tell me when it suits", "I can't log in", "Please fix it", "It never worked",
     "We have tried to restart the device and to clear the cache and to read the manual and to ask a friend and then "
     "to wait for one more day but the result stays the same as it was before we started with all of that work",
     "Thanks", "It is critical for all users", "I am unable to use it and it doesn't load",
-    "This broke the welcome email banner", "broken broken broken", "Not, not and not",
+    "This broke the welcome email banner", "Broken on Monday, broken on Tuesday, still broken", "Not, not and not",
 )
 PRIORITIES = ("Critical", "High", "Medium", "Low", " high ", "CRITICAL", "low", "P1", None, "Low", "Medium")
 CHANNELS = ("Email", "Chat", "Phone", "Web Form", "Social Media", None)

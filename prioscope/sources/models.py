@@ -8,13 +8,15 @@ from pyspark.sql import SparkSession
 from ..operators.classifier import FeatureModel, MismatchModel
 from ..operators.terms import TfidfModel
 
-PARTS = {"logistic": LogisticRegressionModel, "svm": LinearSVCModel, "trees": GBTClassificationModel}
+PARTS = {"logistic": LogisticRegressionModel, "trees": GBTClassificationModel}
 TEXTS = ("subject", "description")
 
 
 def save_model(spark: SparkSession, model: MismatchModel, path: str) -> None:
     for name in PARTS:
         getattr(model, name).write().overwrite().save(f"{path}/{name}")
+    for i, svm in enumerate(model.svms):
+        svm.write().overwrite().save(f"{path}/svm{i}")
     terms = [(text, i, term, idf) for text in TEXTS
              for i, (term, idf) in enumerate(zip(getattr(model.features, text).terms, getattr(model.features, text).idf))]
     spark.createDataFrame(terms, "text string, position int, term string, idf double").coalesce(1).write.mode(
@@ -23,8 +25,8 @@ def save_model(spark: SparkSession, model: MismatchModel, path: str) -> None:
     spark.createDataFrame(numbers, "position int, name string, mean double, deviation double").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/numbers")
     spark.createDataFrame(
-        [(model.features.channels, *model.platt, float(model.threshold))],
-        "channels array<string>, slope double, intercept double, threshold double",
+        [(model.features.channels, *map(list, zip(*model.platts)), float(model.threshold))],
+        "channels array<string>, slopes array<double>, intercepts array<double>, threshold double",
     ).write.mode("overwrite").parquet(f"{path}/settings")
 
 
@@ -38,4 +40,6 @@ def load_model(spark: SparkSession, path: str) -> MismatchModel:
     features = FeatureModel(
         texts["subject"], texts["description"], list(row.channels),
         {r.name: r.mean for r in numbers}, {r.name: r.deviation for r in numbers})
-    return MismatchModel(features, platt=(row.slope, row.intercept), threshold=row.threshold, **parts)
+    platts = list(zip(row.slopes, row.intercepts))
+    svms = [LinearSVCModel.load(f"{path}/svm{i}") for i in range(len(platts))]
+    return MismatchModel(features, svms=svms, platts=platts, threshold=row.threshold, **parts)

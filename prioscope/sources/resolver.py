@@ -22,7 +22,8 @@ BATCH_ROLES = {
     "priority_raw": [("priority",), ("assigned",)],
     "resolution_raw": [("resolution", "minute"), ("resolution", "time"), ("resolution",)],
 }
-PROFILES = {"training": TRAINING_ROLES, "batch": BATCH_ROLES}
+# Scoring finds its columns as training does and needs no priority.
+PROFILES = {"training": TRAINING_ROLES, "scoring": TRAINING_ROLES, "batch": BATCH_ROLES}
 REQUIRED = {
     "training": ("description", "priority_raw"),
     "scoring": ("subject", "description"),

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.cleaning import clean_tickets
 from ..operators.evaluation import with_rule_override
 from ..operators.filling import DEFAULT_MINUTES
 from ..operators.signals import density_signal, tier_by_fixed_cuts, tier_signal, with_phrase_hits
-from ..sources.resolver import to_tickets
+from ..plans.audit import prepare
 
 
 def ticket_stream(spark: SparkSession, folder: str, schema: StructType, kind: str = "parquet",
@@ -31,8 +30,12 @@ def ticket_stream(spark: SparkSession, folder: str, schema: StructType, kind: st
 
 
 def score(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Cleaned tickets with signals 1 and 4, tier and rule outcome; batch or stream."""
-    matched = with_phrase_hits(clean_tickets(to_tickets(raw, keep=keep)))
+    """Prepared tickets with signals 1 and 4, tier and rule outcome; batch or stream."""
+    return judged(with_phrase_hits(prepare(raw, keep=keep)))
+
+
+def judged(matched: DataFrame) -> DataFrame:
+    """Signals 1 and 4, tier and rule outcome of prepared tickets with phrase hits."""
     tiered = tier_by_fixed_cuts(density_signal(tier_signal(matched)))
     filled = tiered.withColumn("resolution_minutes", F.coalesce("resolution_minutes", F.lit(DEFAULT_MINUTES)))
     ruled = with_rule_override(filled)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prioscope.functions.severity import LABELS
-from prioscope.operators import clustering, dossiers, evaluation, features, filling, fusion, statistics
+from prioscope.operators import clustering, dashboards, dossiers, evaluation, features, filling, fusion, statistics
 from prioscope.operators.latent import fit_latent
 from prioscope.operators.terms import TfidfModel
 from prioscope.sources.resolver import find_column, resolve_columns, to_tickets
@@ -46,8 +46,47 @@ def test_hot_value_and_sketch(spark):
     assert list(near) == pytest.approx(list(exact), abs=10)
 
 
-def test_row_index_across_ranges(spark, monkeypatch):
-    monkeypatch.setattr(statistics, "KEYS_PER_BUCKET", 10)
+def test_quantiles_of_a_narrow_column(spark):
+    """All values fall into one coarse bucket, some next to each other."""
+    values = [1000 + i / 40_000 for i in range(20_000)] + [math.nextafter(1000.1, 2000), 1000.1, 1000.1]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    shares = {"a": 0.0, "b": 0.2, "c": 0.25, "d": 0.7501, "e": 1.0}
+    got = statistics.exact_quantiles(df, "x", shares).first()
+    assert list(got) == pytest.approx(list(np.percentile(values, [100 * s for s in shares.values()])), rel=1e-14)
+
+
+def test_row_index_with_repeated_sparse_and_null_keys(spark):
+    keys = [None, None] + [7] * 300 + [random.Random(i).randrange(-2**62, 2**62) for i in range(200)]
+    df = spark.createDataFrame([(k, i % 5) for i, k in enumerate(keys)], "k bigint, x int").repartition(6)
+    rows = statistics.with_row_index(df, "k").orderBy("row_index").collect()
+    assert [r.row_index for r in rows] == list(range(len(keys)))
+    assert [r.k for r in rows] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert statistics.with_row_index(df.limit(0), "k").count() == 0
+
+
+def test_rows_without_label_or_cluster_stay(spark):
+    df = spark.createDataFrame([(str(i), i % 2 if i < 7 else None) for i in range(10)], "ticket_id string, mismatch int")
+    assert features.stratified_split(df).count() == 10
+    counts = {r.mismatch: r["count"] for r in features.oversample(df).groupBy("mismatch").count().collect()}
+    assert counts == {0: 4, 1: 4, None: 4}
+    tickets = spark.createDataFrame([(1, 0, 5.0), (2, 1, 9.0), (3, None, 1.0)], "id int, cluster_id int, m double")
+    ranked = clustering.rank_clusters(tickets, "time", "m")
+    got = {r.id: r.cluster_severity for r in clustering.attach_cluster_severity(tickets, ranked).collect()}
+    assert got == {1: "Low", 2: "Medium", 3: "Medium"}
+
+
+def test_heatmap_keeps_other_channels(spark):
+    df = spark.createDataFrame([("a", "Chat", 1), ("a", "Fax", 2), ("a", None, 4)], "category string, channel string, severity_delta int")
+    assert [tuple(r) for r in dashboards.delta_heatmap(df, ["Chat"]).collect()] == [("a", 1.0, 3.0)]
+
+
+def test_too_many_labels_raise(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_LABELS", 3)
+    with pytest.raises(ValueError):
+        features.fit_label_encoder(spark.range(5).selectExpr("cast(id as string) AS c"), "c", "code")
+
+
+def test_row_index_across_ranges(spark):
     keys = random.Random(1).sample(range(-500, 500), 200)
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
     got = {r.k: r.row_index for r in statistics.with_row_index(df, "k").collect()}

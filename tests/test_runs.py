@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from prioscope.operators.classifier import Settings
+from prioscope.operators import learned
+from prioscope.operators.classifier import Settings, train_classifier
 from prioscope.operators.evaluation import keyword_baseline, robustness_score, with_rule_override
 from prioscope.operators.signals import with_phrase_hits
 from prioscope.plans import audit
@@ -13,9 +14,10 @@ from prioscope.sources import tickets as files
 from prioscope.sources.composed import composed_tickets
 from prioscope.sources.models import load_model
 from prioscope.sources.tables import written
+from prioscope.sources.tickets import read_tickets_csv
 from prioscope.streaming import live
 
-FAST = Settings(trees=3, linear_iterations=15)
+FAST = Settings(trees=3, logistic_iterations=15, svm_iterations=15)
 LABELLING = {"cluster_options": {"k": 10, "seeds": (1, 2), "max_iter": 10}, "regression_options": {"trees": 2}}
 
 
@@ -99,6 +101,33 @@ def test_batch_run(spark, raw, finished, tmp_path, style):
     assert len(lines) == flagged and all(len(d["feature_evidence"]) == 4 for d in lines)
 
 
+def test_hours_reach_the_stream(spark):
+    df = spark.createDataFrame([("d", "Low", "5")], "description string, priority string, Resolution_Time_Hours string")
+    assert live.score(df).select("resolution_minutes", "ticket_id").first().resolution_minutes == 300.0
+
+
+def test_mixed_encodings(spark, tmp_path):
+    texts = {"a": ("café", "utf-8"), "b": ("café", "latin-1"), "c": ("odd \ufffd", "utf-8"), "d": ("日本", "utf-8")}
+    for name, (text, encoding) in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(f"k,Größe\n{name},{text}\n".encode(encoding))
+    got = read_tickets_csv(spark, str(tmp_path / "*.csv"))
+    assert got.columns == ["k", "Größe"]
+    assert {r[0]: r[1] for r in got.collect()} == {name: text for name, (text, _) in texts.items()}
+
+
+def test_regression_with_many_categories(spark):
+    df = spark.range(200).selectExpr("cast(id as string) AS ticket_id", "concat('text ', id % 7) AS description", "'Chat' AS channel",
+                                     "concat('c', id % 60) AS category", "cast(id % 60 as double) AS resolution_minutes")
+    rows = learned.regression_signal(df, trees=2).select("regression_severity").distinct().collect()
+    assert len(rows) == 4
+
+
+def test_labels_must_be_two(spark):
+    df = spark.createDataFrame([(str(i), 1) for i in range(20)], "ticket_id string, mismatch int")
+    with pytest.raises(ValueError):
+        train_classifier(df)
+
+
 def test_missing_channel_and_id_columns(spark):
     df = spark.createDataFrame([("s", "d", " high ", "2 days"), ("s", "e", "P1", None)],
                                "subject string, description string, priority string, resolution_time string")
@@ -147,8 +176,10 @@ def test_robustness_run(spark, finished):
     assert {r.source for r in results.select("source").collect()} <= {"rule", "ml", "combined"}
 
 
-def test_stream_equals_batch(spark, raw, tmp_path):
+@pytest.mark.parametrize("name", ["resolution_time", "Resolution_Time_Hours"])
+def test_stream_equals_batch(spark, raw, tmp_path, name):
     source = str(tmp_path / "in")
+    raw = raw.withColumnsRenamed({c: name for c in raw.columns if "resolution" in c.lower()})
     raw.repartition(4).write.parquet(source)
     table = spark.read.parquet(source)
     columns = ["ticket_id", "llm_severity_score", "keyword_density", "rule_nlp_severity", "resolution_tier", "rule_name",
@@ -157,7 +188,10 @@ def test_stream_equals_batch(spark, raw, tmp_path):
     for _ in range(2):      # the second start finds nothing new
         live.run_available(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
-    expected = live.score(table).select(*columns)
+    # The batch preparation followed by the same operators.
+    prepared = with_phrase_hits(audit.prepare(table))
+    expected = live.judged(prepared).select(*columns)
+    assert prepared.where("resolution_minutes > 60").count() > 0
     assert got.count() == expected.count() and got.exceptAll(expected).count() == 0
 
 
