@@ -171,7 +171,10 @@ def test_rules_on_robustness_tickets(spark):
 def test_robustness_run(spark, finished):
     clean = audit.prepare(robustness_table(spark).drop("expected_mismatch"), "batch").join(
         robustness_table(spark).select("ticket_id", "expected_mismatch"), "ticket_id")
-    results, score = audit.robustness_run(clean, finished[0].training.model)
+    results, score = audit.robustness_run(clean, finished[0].training.model, finished[1])
+    found, absent = files.read_results(spark, finished[1])
+    assert not absent and found["robustness/tickets"].count() == len(ROBUSTNESS)
+    assert found["robustness/score"].first().threshold_used == finished[0].training.model.threshold
     assert results.count() == score.first().total_tickets == len(ROBUSTNESS)
     assert {r.source for r in results.select("source").collect()} <= {"rule", "ml", "combined"}
 
