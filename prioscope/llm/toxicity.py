@@ -1,4 +1,9 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over telling terms.
+
+Telling terms are the examples' words with a chi-squared value of at least
+MIN_CHI_SQUARED against the label, at most MAX_TERMS; vectors and norms hold no
+others. Fewer examples than that value can have no such term; their words are
+all indexed.
 
 Labelled examples are indexed by term, in blocks of examples with the largest
 weight of each term per block. A query scores blocks in the order of their upper
