@@ -157,8 +157,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     df, hits = F.col("df").cast("double"), F.col("hits").cast("double")
     cross = hits * (n - positive - df + hits) - (df - hits) * (positive - hits)
     chi = F.try_divide(n * cross * cross, df * (n - df) * F.lit(float(positive)) * F.lit(float(n - positive)))
-    terms = {bytes(r["term"]): i for i, r in enumerate(
-        counts.where(chi >= MIN_CHI_SQUARED).orderBy(F.desc(chi), "term").limit(max_terms).select("term").collect())}
+    # Chi-squared is at most n: fewer examples than the threshold keep all their terms.
+    telling = counts.orderBy("term") if n < MIN_CHI_SQUARED else counts.where(
+        chi >= MIN_CHI_SQUARED).orderBy(F.desc(chi), "term").limit(max_terms)
+    terms = {bytes(r["term"]): i for i, r in enumerate(telling.select("term").collect())}
     total, seen = _document_frequencies(docs, text, terms)
     idf = np.log((1 + total) / (1 + seen)) + 1
     wanted = spark.createDataFrame([(bytearray(t), i) for t, i in terms.items()], "term binary, at int")

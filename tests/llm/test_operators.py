@@ -237,6 +237,15 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score_toxicity(df, none).collect()} == {0.5}
 
 
+def test_toxicity_of_thirty_labels(spark):
+    rows = [(i, f"{text_of(i, 3)} {'vile rot scum' if i % 2 else 'fine day sun'}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(df, marks)
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, model).collect()}
+    assert all((out[i] >= toxicity.THRESHOLD) == (i % 2 == 1) for i in range(60))
+
+
 def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} and out.count() > 0
