@@ -182,15 +182,40 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         **options) -> DataFrame:
     """The rows of `docs`, each as often as the plan takes it; columns as they were.
 
-    Rows that share key, source and size divide their copies: each gets the
-    whole part, and one more with the chance that remains.
+    Rows that share key, source and size divide their copies exactly: each gets
+    the whole part, and as many as copies remain, the first by a hash of the row,
+    get one more. Reruns agree, whatever the partitions.
     """
     plan = plan_mix(docs, key, text, source, seed, **options).select(
         F.col(key).alias("k"), F.col(source).alias("s"), F.col("size").alias("n"), "rows", "copies").where("copies > 0")
     rows = docs.select(packed(docs), column(key).alias("key"), column(source).alias("source"), word_count(text).alias("size"))
-    joined = rows.join(plan, F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
-                       & (F.col("size") == F.col("n")))
-    extra = (F.rand(seed) < (F.col("copies") % F.col("rows")) / F.col("rows")).cast("bigint")
-    each = joined.withColumn("times", F.floor(F.col("copies") / F.col("rows")) + extra).where("times > 0")
+    same = F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n"))
+    times = F.floor(F.col("copies") / F.col("rows")).alias("times")
+    uneven = plan.where("copies % rows > 0")
+    each = rows.join(plan.where("copies % rows = 0"), same).select("row", times)
+    if not uneven.isEmpty():
+        divided = _divided(rows.join(uneven, same), seed)
+        each = each.unionByName(divided.select("row", (times + F.col("extra")).alias("times"))).where("times > 0")
     return each.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(
         *unpacked(docs.columns, []))
+
+
+def _divided(joined: DataFrame, seed: int) -> DataFrame:
+    """Adds extra: 1 for the first copies % rows rows of each group (k, s, n) by row hash, else 0.
+
+    Counts per group and range of hashes give every range its place; only rows of
+    the one range of a group in which the copies run out are numbered.
+    """
+    group = ["k", "s", "n"]
+    marked = written(joined.withColumn("text_row", F.to_json("row")).withColumn(
+        "hash", F.xxhash64(F.lit(seed), F.col("text_row"))).withColumn("part", F.shiftrightunsigned("hash", 52)), "uneven")
+    counts = marked.groupBy(*group, "part").agg(F.count("*").alias("here"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("before", F.coalesce(F.sum("here").over(earlier), F.lit(0))).alias("o")
+    placed = marked.alias("m").join(offsets, F.col("m.k").eqNullSafe(F.col("o.k")) & F.col("m.s").eqNullSafe(F.col("o.s"))
+                                    & (F.col("m.n") == F.col("o.n")) & (F.col("m.part") == F.col("o.part"))).select(
+        "m.*", "o.here", (F.col("copies") % F.col("rows") - F.col("o.before")).alias("left"))
+    runs_out = (F.col("left") > 0) & (F.col("left") < F.col("here"))
+    nth = F.row_number().over(Window.partitionBy(*group, "part").orderBy("hash", "text_row"))
+    numbered = placed.where(runs_out).withColumn("extra", (nth <= F.col("left")).cast("bigint"))
+    return placed.where(~runs_out).withColumn("extra", (F.col("left") >= F.col("here")).cast("bigint")).unionByName(numbered)

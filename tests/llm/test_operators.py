@@ -176,6 +176,16 @@ def test_mixing(spark):
     assert mixing.mix(df).columns == df.columns and mixing.plan_mix(df.limit(0)).count() == 0
 
 
+def test_mixing_divides_copies_exactly(spark):
+    rows = [(None, "a b c", "t", i) for i in range(61)] + [(i, text_of(i, 5), "s", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, x int")
+    copies = {(r["doc_id"], r["source"]): (r["copies"], r["rows"]) for r in mixing.plan_mix(df).collect()}
+    first, again = (sorted(r["x"] for r in mixing.mix(part).where("doc_id is null").collect()) for part in (df, df.repartition(7)))
+    taken, whole = copies[None, "t"][0], copies[None, "t"][0] // 61
+    assert taken % 61 and len(first) == taken and first == again
+    assert all(first.count(i) in (whole, whole + 1) for i in range(61))
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "é" * 100
     pages = spark.createDataFrame([(3, "http://a/\n", long), (2, "u", long), (9, None, long), (4, "v", "short"), (5, "v", "short"), (6, "w", None),
