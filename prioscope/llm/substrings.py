@@ -9,7 +9,12 @@
 3. Stream: every document passes through the automata of the shards whose passages
    it may hold. Any window inside a passage holds a whole tile, so each
    occurrence is hit; the windows around a hit are compared word by word with those
-   of the passages, and equal ones removed. Hashes only choose what is compared; removal rests on equal words.
+   of the passages, and equal ones removed.
+
+Hashes choose what is compared, so nothing is removed without equal words. Two
+different windows with one 64-bit hash count as one in step 1, which may lose the
+removal of the one in the larger document: for 5e9 windows (30 GB) the chance is
+about 5e9 / 2^64 = 3e-10 a window.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ BATCH = 8192
 CROWD = 64
 # Bits of the filter that picks documents to stream: a fixed size, whatever the data.
 FILTER_BITS = 26
-_VALUE_BITS = 48
+_VALUE_BITS = 64
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SPANS = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))
@@ -54,7 +59,7 @@ class _WordHashes(dict):
 
 
 def window_values(words: list[bytes], window: int, hashes: dict) -> np.ndarray:
-    """A 48-bit hash of each window."""
+    """A 64-bit hash of each window."""
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -64,7 +69,7 @@ def window_values(words: list[bytes], window: int, hashes: dict) -> np.ndarray:
         out += each[j:n + j] * _MULTIPLIERS[j % 64]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0x9E3779B97F4A7C15)
-    return out >> np.uint64(64 - _VALUE_BITS)
+    return out ^ out >> np.uint64(29)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -116,6 +121,8 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     """Rows by kind: 1 document a shares windows first seen in b; 2 values of windows first seen in a; 3 document a
     shares a window with b, the first document of its batch that has it, which the batch is crowded with."""
     width = -(-(1 << _VALUE_BITS) // buckets)
+    # Where the values of each bucket begin.
+    edges = np.array([b * width for b in range(buckets)], np.uint64)
     blobs = ("low", "high", "at", "keys", "crowd")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +136,12 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         found = []
         for i, value in enumerate(batch.column(1).cast(pa.binary())):
             values = window_values(spaced_words(value.as_py()), window, hashes)
-            found.append(values << np.uint64(16) | np.uint64(i))
-        packed = np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
-        packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
-        values, at = (packed >> np.uint64(16)).astype(np.int64), (packed & np.uint64(0xFFFF)).astype(np.int64)
+            found.append(np.unique(values))
+        values = np.concatenate(found) if found else np.empty(0, np.uint64)
+        at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        # Stable: within a value by document.
+        order = np.argsort(values, kind="stable")
+        values, at = values[order], at[order]
         starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
         runs = np.diff(np.append(starts, len(values)))
         crowded = np.repeat(runs > CROWD, runs)
@@ -154,14 +163,14 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             crowd_values = values[least]
             values, at = values[stay], at[stay]
         else:
-            crowd_values = none
-        cuts = np.searchsorted(values, np.arange(buckets + 1) * width)
-        crowd_cuts = np.searchsorted(crowd_values, np.arange(buckets + 1) * width)
+            crowd_values = np.empty(0, np.uint64)
+        cuts = np.append(np.searchsorted(values, edges), len(values))
+        crowd_cuts = np.append(np.searchsorted(crowd_values, edges), len(crowd_values))
         for bucket in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[bucket], cuts[bucket + 1]
-            local = values[a:b] - bucket * width
+            local = values[a:b] - edges[bucket]
             here, place = np.unique(at[a:b], return_inverse=True)
-            put(bucket, (local & 0xFFFFFFFF).astype(np.uint32), (local >> 32).astype(np.uint16), place.astype(np.uint16),
+            put(bucket, (local & np.uint64(0xFFFFFFFF)).astype(np.uint32), (local >> np.uint64(32)).astype(np.uint32), place.astype(np.uint16),
                 keys[here], crowd_values[crowd_cuts[bucket]:crowd_cuts[bucket + 1]])
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])],
                                          names=["bucket", *blobs])
@@ -174,16 +183,16 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             keys = np.concatenate([np.frombuffer(x, np.int64) for x in raw["keys"]])
             return _rows(3, keys[keys != firsts], firsts[keys != firsts])
         local = np.concatenate([np.frombuffer(x, np.uint32) for x in raw["low"]]).astype(np.int64)
-        local |= np.concatenate([np.frombuffer(x, np.uint16) for x in raw["high"]]).astype(np.int64) << 32
+        local |= np.concatenate([np.frombuffer(x, np.uint32) for x in raw["high"]]).astype(np.int64) << 32
         keys = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(x, np.uint16)] for k, x in zip(raw["keys"], raw["at"])])
-        crowd = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in raw["crowd"]]))
+        crowd = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in raw["crowd"]]))
         order = np.argsort(local)
         local, keys = local[order], keys[order]
         starts = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
         runs = np.diff(np.append(starts, len(local)))
         again = np.repeat(runs > 1, runs)
         # A crowded window recurs even if a single batch holds all of it.
-        again |= np.isin(local + bucket * width, crowd)
+        again |= np.isin(local.astype(np.uint64) + edges[bucket], crowd)
         local, keys = local[again], keys[again]
         order = np.lexsort((keys, local))
         local, keys = local[order], keys[order]
@@ -191,7 +200,7 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             return _rows(1, local, local)
         starts = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
         runs = np.diff(np.append(starts, len(local)))
-        firsts, values = keys[starts], local[starts] + bucket * width
+        firsts, values = keys[starts], local[starts].astype(np.uint64) + edges[bucket]
         recurs = (keys[starts + runs - 1] != firsts) | np.isin(values, crowd)
         first_of = np.repeat(firsts, runs)
         other = keys != first_of
@@ -203,7 +212,7 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         order = np.argsort(firsts_r, kind="stable")
         firsts_r, values_r = firsts_r[order], values_r[order]
         heads = np.flatnonzero(np.append(True, firsts_r[1:] != firsts_r[:-1])) if len(firsts_r) else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(values_r)), pa.int32()), pa.array(values_r))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(values_r)), pa.int32()), pa.array(values_r.view(np.int64)))
         own = pa.table({"kind": pa.array(np.full(len(heads), 2), pa.int32()), "a": pa.array(firsts_r[heads]),
                         "b": pa.nulls(len(heads), pa.int64()), "values": lists})
         return pa.concat_tables([_rows(1, e[fresh], d[fresh]), own])
@@ -264,7 +273,7 @@ def _passages(sources: DataFrame, window: int) -> DataFrame:
             keys, passages = [], []
             for key, text, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = spaced_words(unpack(text))
-                recurs = np.isin(window_values(words, window, hashes).astype(np.int64), np.array(values, np.int64))
+                recurs = np.isin(window_values(words, window, hashes).view(np.int64), np.array(values, np.int64))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], recurs, [0]]).astype(np.int8)))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     keys.append(key)

@@ -124,6 +124,23 @@ def test_substrings_in_a_crowd(spark, monkeypatch):
     assert out == brute_removed(texts)
 
 
+def test_window_values_fill_64_bits():
+    words = [b"%d" % i for i in range(4000)]
+    values = substrings.window_values(words, 13, substrings._WordHashes())
+    assert int(values.max()) >= 1 << 63 and len(np.unique(values & np.uint64(0xFFFFFFFF))) > 3980
+
+
+def test_substrings_whose_windows_agree_on_48_bits(spark, monkeypatch):
+    full = substrings.window_values
+    # Hashes that differ in their highest 16 bits only.
+    monkeypatch.setattr(substrings, "window_values", lambda *a: full(*a) << np.uint64(48))
+    passage = text_of(5, 13)
+    texts = {1: text_of(21, 13), 2: f"b {passage}", 3: f"c {passage}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.repeated_spans(df).collect()}
+    assert out == brute_removed(texts)
+
+
 def test_embeddings(spark):
     draw = np.random.default_rng(3)
     rows = [(i, draw.normal(size=8).tolist(), i % 2) for i in range(30)]
