@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from . import lexicons as lx
 from .matching import top_phrase
+from .rounding import round_exact
 from .severity import (
     density_double_hits, density_label, density_weighted, mismatch_type, resolution_tier, severity_number,
 )
@@ -169,7 +170,7 @@ def evidence(
         density = density_double_hits(hits, words, style.escalation, style.negations)[0]
     else:
         density = density_weighted(hits, words, style.escalation, style.negations)
-    density = F.bround(density, 4)
+    density = round_exact(density, 4)
     tier = resolution_tier(minutes, *cuts)
     note = tier_message(style, tier, minutes, cuts)
 

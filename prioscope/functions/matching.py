@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
@@ -99,22 +98,16 @@ def total_hits(hits: Column, phrases: Sequence[str]) -> Column:
 
 
 def weighted_hits(hits: Column, weighted: Sequence[tuple[str, float]]) -> Column:
-    """Sum of occurrence weights, added up in whole units of the smallest decimal."""
-    weights = {phrase: Decimal(str(weight)) for phrase, weight in weighted}
-    scale = 10 ** max(0, *(-w.as_tuple().exponent for w in weights.values()))
-    by_units: dict[int, list[str]] = {}
-    for phrase, weight in weights.items():
-        by_units.setdefault(int(weight * scale), []).append(phrase)
-
-    def units(hit: Column) -> Column:
-        value = None
-        for amount, group in by_units.items():
-            matched = _in(hit, group)
-            value = F.when(matched, F.lit(amount)) if value is None else value.when(matched, F.lit(amount))
-        return value.otherwise(F.lit(0))
+    """Occurrences times weight as doubles, added up in the order of the list."""
+    listed = F.expr("array(" + ", ".join(
+        f"named_struct('phrase', {sql_text(phrase)}, 'weight', {float(weight)!r}D)" for phrase, weight in weighted) + ")")
+
+    def add(total: Column, item: Column) -> Column:
+        return total + F.size(F.filter(hits, lambda hit: hit == item["phrase"])) * item["weight"]
 
-    total = F.aggregate(hits, F.lit(0), lambda acc, hit: acc + units(hit))
-    return total / F.lit(float(scale))
+    # A null array has no hits; most texts have none of the list.
+    phrases = [phrase for phrase, _ in weighted]
+    return F.when(any_hit(hits, phrases), F.aggregate(listed, F.lit(0.0), add)).otherwise(F.lit(0.0))
 
 
 def top_phrase(hits: Column, weighted: Sequence[tuple[str, float]]) -> tuple[Column, Column]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .rounding import round_exact
+
 # Unicode word characters, and blank space as patterns and as a list.
 WORD = r"[\p{L}\p{N}_]"
 BLANK = r"[\s\p{Z}\x85\x1c-\x1f]"
@@ -57,7 +59,7 @@ def snippet(col: Column, length: int, ellipsis: str = "...") -> Column:
 
 def fixed(col: Column, digits: int) -> Column:
     """Number with a fixed number of decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(col.cast("double"), digits))
+    return F.format_string(f"%.{digits}f", round_exact(col, digits))
 
 
 def percent(col: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.ml.feature import StringIndexerModel, VectorAssembler, VectorSizeHi
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.rounding import round_exact
 from ..sources.tables import written
 from .evaluation import class_weights, classification_metrics, quality_gates, threshold_sweep
 from .features import TEXT_FEATURES, fit_label_encoder, moments, oversample, stratified_split, text_features
@@ -206,7 +207,7 @@ def train_classifier(df: DataFrame, settings: Settings = Settings(), key: str =
 
     test = held_out.where("split = 'test'").select(
         "ticket_id", (F.col("prob_mismatch") >= best).cast("int").alias("predicted_label"),
-        F.bround("prob_mismatch", 4).alias("prob_mismatch"), F.col("label").alias("true_label"))
+        round_exact(F.col("prob_mismatch"), 4).alias("prob_mismatch"), F.col("label").alias("true_label"))
     return Training(model, test, split.where("split = 'test'"), test_metrics(test, best),
                     validation_accuracy(validation), sweep)
 
@@ -227,8 +228,8 @@ def test_metrics(test: DataFrame, threshold: float) -> DataFrame:
     ).alias("confusion_matrix"))
     gates = quality_gates(classification_metrics(test))
     return gates.select(
-        F.bround("accuracy", 4).alias("test_accuracy"), F.bround("macro_f1", 4).alias("test_f1_macro"),
-        F.bround("recall_0", 4).alias("test_recall_class0"), F.bround("recall_1", 4).alias("test_recall_class1"),
+        round_exact(F.col("accuracy"), 4).alias("test_accuracy"), round_exact(F.col("macro_f1"), 4).alias("test_f1_macro"),
+        round_exact(F.col("recall_0"), 4).alias("test_recall_class0"), round_exact(F.col("recall_1"), 4).alias("test_recall_class1"),
         F.lit(round(threshold, 2)).alias("best_threshold"), F.col("all_passed").alias("all_thresholds_passed"),
         cells.scalar().alias("confusion_matrix"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicons as lx
 from ..functions.matching import distinct_hits
+from ..functions.rounding import round_exact
 from ..functions.rules import combine, rule_override
 from ..functions.severity import density_weighted, severity_number
 
@@ -23,7 +24,7 @@ SIGNAL_COLUMNS = ("llm_severity_score", "cluster_severity", "regression_severity
 def agreement(df: DataFrame, first: str, second: str) -> DataFrame:
     """Percent of rows where two severity columns name the same level."""
     same = severity_number(F.col(first)) == severity_number(F.col(second))
-    return df.agg(F.bround(F.avg(same.cast("int")) * 100, 1).alias("agreement"))
+    return df.agg(round_exact(F.avg(same.cast("int")) * 100, 1).alias("agreement"))
 
 
 def ablation(df: DataFrame, signals: Sequence[str] = SIGNAL_COLUMNS) -> DataFrame:
@@ -35,7 +36,7 @@ def ablation(df: DataFrame, signals: Sequence[str] = SIGNAL_COLUMNS) -> DataFram
     row = df.agg(*[same(name).alias(f"m{i}") for i, name in enumerate(signals)])
     pairs = ", ".join(f"'{name}', m{i}" for i, name in enumerate(signals))
     return row.selectExpr(f"stack({len(signals)}, {pairs}) AS (signal, share)").select(
-        "signal", F.bround("share", 1).alias("agreement_with_fused"))
+        "signal", round_exact(F.col("share"), 1).alias("agreement_with_fused"))
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -137,7 +138,7 @@ def with_rule_override(
         F.col("hits"), F.col("words"), lx.ESCALATION_15, lx.NEGATIONS_11 if interactive else lx.NEGATIONS_9)
     outcome = rule_override(
         F.col(priority), F.col("critical_hits"), F.col("trivial_hits"), F.col(minutes),
-        F.bround(density, 4) if interactive else density)
+        round_exact(density, 4) if interactive else density)
     return counted.withColumns({"rule_name": outcome.name, "rule_prob": outcome.probability})
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rounding import round_exact
 from ..functions.severity import LABELS
 from .statistics import QUARTILES, exact_quantiles, with_one_row
 
@@ -51,7 +52,7 @@ def describe(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     )
     row = with_one_row(moments, exact_quantiles(df, column, QUARTILES))
     names = ("mean", "std", "minimum", "p25", "p50", "p75", "maximum")
-    return row.select("n", *[F.bround(name, digits).alias(name) for name in names])
+    return row.select("n", *[round_exact(F.col(name), digits).alias(name) for name in names])
 
 
 def label_distribution(df: DataFrame, column: str, labels: Sequence[str] = LABELS[::-1]) -> DataFrame:
@@ -60,7 +61,7 @@ def label_distribution(df: DataFrame, column: str, labels: Sequence[str] = LABEL
         F.count_if(F.col(column) == label).alias(f"m{i}") for i, label in enumerate(labels)])
     pairs = ", ".join(f"{i}, '{label}', m{i}" for i, label in enumerate(labels))
     rows = counts.selectExpr("_all", f"stack({len(labels)}, {pairs}) AS (position, label, n)")
-    return rows.select("position", "label", "n", F.bround(F.try_divide(F.col("n") * 100, F.col("_all")), 1).alias("percent"))
+    return rows.select("position", "label", "n", round_exact(F.try_divide(F.col("n") * 100, F.col("_all")), 1).alias("percent"))
 
 
 def class_balance(df: DataFrame, column: str = "mismatch") -> DataFrame:
@@ -70,6 +71,6 @@ def class_balance(df: DataFrame, column: str = "mismatch") -> DataFrame:
     consistent = F.col("total") - F.col("mismatch_count")
     return rows.select(
         "total", "mismatch_count", consistent.alias("consistent_count"),
-        F.bround(F.try_divide(F.col("mismatch_count") * 100, F.col("total")), 1).alias("mismatch_percent"),
-        F.bround(F.try_divide(consistent * 100, F.col("total")), 1).alias("consistent_percent"),
+        round_exact(F.try_divide(F.col("mismatch_count") * 100, F.col("total")), 1).alias("mismatch_percent"),
+        round_exact(F.try_divide(consistent * 100, F.col("total")), 1).alias("consistent_percent"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import lexicons as lx
 from ..functions.matching import phrase_hits, top_phrase
+from ..functions.rounding import round_exact
 from ..functions.severity import (
     density_double_hits, density_label, density_weighted, quartile_severity, resolution_tier, severity_number,
     tiered_severity,
@@ -48,7 +49,7 @@ def density_signal(
     Buckets use the rounded density unless told otherwise.
     """
     raw = density_weighted(F.col("hits"), F.col("words"), escalation, negations)
-    out = df.withColumn("raw_density", raw).withColumn("keyword_density", F.bround("raw_density", 4))
+    out = df.withColumn("raw_density", raw).withColumn("keyword_density", round_exact(F.col("raw_density"), 4))
     return out.withColumn("rule_nlp_severity", density_label(F.col("keyword_density" if rounded else "raw_density")))
 
 
@@ -57,7 +58,7 @@ def double_hit_density(df: DataFrame) -> DataFrame:
     density, escalation, negation = density_double_hits(F.col("hits"), F.col("words"))
     return df.withColumns({
         "raw_density": density, "escalation_hits": escalation, "negation_hits": negation,
-    }).withColumn("keyword_density", F.bround("raw_density", 4)).withColumn(
+    }).withColumn("keyword_density", round_exact(F.col("raw_density"), 4)).withColumn(
         "rule_nlp_severity", density_label(F.col("keyword_density")))
 
 

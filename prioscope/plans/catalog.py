@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import lexicons as lx
 from ..functions.durations import hours_to_minutes, parse_minutes
 from ..functions.evidence import STYLES, tier_message
+from ..functions.rounding import round_exact
 from ..functions.severity import mismatch_type, severity_from_probability, severity_number
 from ..operators import (
     cleaning, clustering, dashboards, dossiers, evaluation, features, filling, fusion, learned, profiling, signals, terms,
@@ -112,7 +113,7 @@ def mismatch_by_channel(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("tickets"),
         F.count_if(F.abs(gap) >= 2).alias("mismatches"),
         F.count_if(gap >= 2).alias("under_prioritised"),
-        F.bround(F.avg((F.abs(gap) >= 2).cast("int")) * 100, 1).alias("mismatch_percent"),
+        round_exact(F.avg((F.abs(gap) >= 2).cast("int")) * 100, 1).alias("mismatch_percent"),
     )
 
 

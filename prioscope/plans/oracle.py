@@ -105,7 +105,7 @@ def density_name(col: str) -> str:
 
 
 def even(col: str, digits: int) -> str:
-    return f"CAST(round_even(CAST({col} AS DOUBLE), {digits}) AS DOUBLE)"
+    return f"CAST(printf('%.{digits}f', CAST({col} AS DOUBLE)) AS DOUBLE)"
 
 
 def rounded(col: str, digits: int = 8) -> str:

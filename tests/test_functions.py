@@ -91,6 +91,14 @@ def test_counts(spark):
     assert got == [(pytest.approx(5.4), 1, 2, "data loss", 3.0)]
 
 
+def test_weights_add_up_in_the_order_of_the_list(spark):
+    # As doubles 0.1 + 0.2 + 0.3 is not 0.6; the order of the text does not matter.
+    listed = [("one", 0.1), ("two", 0.2), ("three", 0.3)]
+    hits = phrase_hits(F.col("x"), [p for p, _ in listed])
+    got = evaluate(spark, [("three two one",), ("two, two",), ("none",), (None,)], "x string", w=weighted_hits(hits, listed))
+    assert got == [(0.1 + 0.2 + 0.3,), (2 * 0.2,), (0.0,), (0.0,)]
+
+
 def test_top_phrase_ties_and_none(spark):
     hits = phrase_hits(F.col("x"))
     phrase, weight = top_phrase(hits, lx.ESCALATION_15)
