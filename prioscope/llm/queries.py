@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embeddings, lines, mixing, preferences, sharding, simhash, substrings, toxicity, warc
+from . import decontamination, embeddings, lines, manifest, mixing, preferences, sharding, simhash, substrings, toxicity, twins, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,19 @@ def op10_lines(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op11_manifest(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    changed = fields | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", manifest.record_digest(list(fields.values())).alias("leaf"),
+                         F.when(tampered, manifest.record_digest(list(changed.values()))).alias("replacement"))
+    return manifest.manifest(leaves).select(
+        "doc_id", "leaf", "subroot", "root", manifest.siblings_digest().alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _OP8 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -204,6 +218,7 @@ FROM documents LEFT JOIN done USING (doc_id)
 
 SQL: dict[str, str] = {
     "op3_warc": _OP3, "op8_decontamination": _OP8, "op9_preferences": _op9(), "op10_lines": _OP10,
+    "op11_manifest": twins.manifest(),
 }
 # Equal on the first columns only: the query returns its spans besides. Used by the tests.
 DIGEST_SQL: dict[str, str] = {"op5_substrings": _OP5}
