@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embeddings, lines, manifest, mixing, preferences, sharding, simhash, substrings, toxicity, twins, warc
+from . import (
+    decontamination, embeddings, interactions, lines, manifest, mixing, preferences, sharding, simhash, substrings, toxicity, twins, warc,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +105,12 @@ def op11_manifest(spark: SparkSession, d: str) -> DataFrame:
         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@query
+def op12_interactions(spark: SparkSession, d: str) -> DataFrame:
+    counts = interactions.mask_counts(spark, f"{d}/documents.parquet", table(spark, d, "labels"))
+    return interactions.interactions(counts)
+
+
 _OP8 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -218,7 +226,7 @@ FROM documents LEFT JOIN done USING (doc_id)
 
 SQL: dict[str, str] = {
     "op3_warc": _OP3, "op8_decontamination": _OP8, "op9_preferences": _op9(), "op10_lines": _OP10,
-    "op11_manifest": twins.manifest(),
+    "op11_manifest": twins.manifest(), "op12_interactions": twins.interactions(),
 }
 # Equal on the first columns only: the query returns its spans besides. Used by the tests.
 DIGEST_SQL: dict[str, str] = {"op5_substrings": _OP5}

@@ -69,3 +69,42 @@ def manifest() -> str:
     left, right = joined("run_nodes[:climb.pos % 8]"), joined("run_nodes[climb.pos % 8 + 2:]")
     fields = {c: field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
     return _MANIFEST.format(**fields, lower=lower, crc=crc, folded=f"{left}, climb.node, {right}", rest=f"{left}, {right}")
+
+
+def interactions() -> str:
+    return r"""
+WITH marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts) LEFT JOIN marks USING (doc_id)
+), masks AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM judged GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+  JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), steps AS (
+  SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders
+), counted AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, n, good, bad, fails, contains(fails, filter_order[step]) AS own,
+    length(translate(fails, filter_order[1:step - 1], '')) < length(fails) AS gone
+  FROM masks CROSS JOIN steps
+), measured AS (
+  SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (own AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (own AND gone), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (own AND NOT gone), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(bad) FILTER (own AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM counted GROUP BY part, filter_order, step, f
+)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM measured
+"""
