@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    decontamination, embeddings, interactions, lines, manifest, mixing, preferences, sharding, simhash, substrings, toxicity, twins, warc,
+    decontamination, embeddings, interactions, lines, manifest, mixing, preferences, products, sharding, simhash, substrings, toxicity, twins,
+    warc,
 )
 from .common import table
 
@@ -54,7 +55,7 @@ def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op5_substrings(spark: SparkSession, d: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, d, "documents")).select(
-        "doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+        "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query
@@ -111,6 +112,11 @@ def op12_interactions(spark: SparkSession, d: str) -> DataFrame:
     return interactions.interactions(counts)
 
 
+@query
+def op13_products(spark: SparkSession, d: str) -> DataFrame:
+    return products.top_products(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 _OP8 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -224,9 +230,21 @@ SELECT documents.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(c
 FROM documents LEFT JOIN done USING (doc_id)
 """
 
+_OP13 = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+) WHERE rank <= 5
+"""
+
 SQL: dict[str, str] = {
-    "op3_warc": _OP3, "op8_decontamination": _OP8, "op9_preferences": _op9(), "op10_lines": _OP10,
+    "op3_warc": _OP3, "op5_substrings": _OP5, "op8_decontamination": _OP8, "op9_preferences": _op9(), "op10_lines": _OP10,
     "op11_manifest": twins.manifest(), "op12_interactions": twins.interactions(),
+    "op13_products": _OP13,
 }
-# Equal on the first columns only: the query returns its spans besides. Used by the tests.
-DIGEST_SQL: dict[str, str] = {"op5_substrings": _OP5}

@@ -279,4 +279,4 @@ def test_pipeline(spark, small):
 
 
 def test_names():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 14)]
