@@ -3,7 +3,8 @@
 All files of a table go through a stream of micro-batches. Every row counts at
 once with the filters its text fails, as if it repeated another one. Per text, the
 state of the stream keeps the smallest id so far and the rows that hold it; those
-are corrected to be the first. When a smaller id arrives in a later batch, the
+are corrected to be the first. (Texts share states by buckets of their digests, a
+bucket for every 2,048 rows: a call per text costs a hundred times its work.) When a smaller id arrives in a later batch, the
 correction of the earlier holders is retracted. The sum of all counts is a table
 of parts and masks of failed filters, from which all orders follow.
 """
@@ -30,6 +31,8 @@ _BIT = {name: 1 << i for i, name in enumerate(FILTERS)}
 _MASKS = 1 << len(FILTERS)
 # Micro-batches that the files are dealt to.
 BATCHES = 4
+# Texts of a state: so many share one, whatever the size of the table.
+TEXTS = 2048
 # Entries that a task adds up before it hands them on.
 FLUSH = 50_000
 _MARKS = bytes(range(0x80, 0xC0))
@@ -71,25 +74,20 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows for the state, added up per task.
 
     A text gives one row with its smallest id and the rows that hold it; counts of
-    parts and masks, which need no state, are rows without an id.
+    parts and masks, which need no state, are rows marked as plain.
     """
     counts: Counter = Counter()
     lowest: dict[bytes, tuple[int, Counter]] = {}
 
     def handed() -> pa.RecordBatch:
-        digests, ids, entries = [], [], []
-        for entry, n in counts.items():
-            digests.append(hashlib.sha256(repr((entry, n)).encode()).digest())
-            ids.append(None)
-            entries.append(json.dumps([[*entry, n]]))
-        for digest, (id_, holders) in lowest.items():
-            digests.append(digest)
-            ids.append(id_)
-            entries.append(json.dumps([[*entry, n] for entry, n in holders.items()]))
+        rows = [(hashlib.sha256(repr(entry).encode()).digest(), 0, True, [[*entry, n]]) for entry, n in counts.items()]
+        rows += [(digest, id_, False, [[*entry, n] for entry, n in holders.items()]) for digest, (id_, holders) in lowest.items()]
         counts.clear()
         lowest.clear()
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(entries, pa.string())],
-                                          names=["digest", "id", "entries"])
+        return pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([r[2] for r in rows], pa.bool_()), pa.array([json.dumps(r[3]) for r in rows], pa.string()),
+        ], names=["digest", "id", "plain", "entries"])
 
     for batch in batches:
         for id_, part, mask, digest, quality, toxic in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -110,27 +108,37 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _corrected(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of counts that the new rows of a text bring about."""
-    if not state.exists and key[1]:
-        out = [entry for frame in frames for text in frame["entries"] for entry in json.loads(text)]
-    else:
-        before = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
-        low, holders = before[0], Counter({tuple(e[:4]): e[4] for e in before[1]})
-        for frame in frames:
-            for id_, text in zip(frame["id"].tolist(), frame["entries"]):
-                if low is not None and id_ > low:
-                    continue
-                if low is None or id_ < low:
-                    low, holders = int(id_), Counter()
-                for *entry, n in json.loads(text):
-                    holders[tuple(entry)] += n
-        change = Counter(holders)
-        change.subtract(Counter({tuple(e[:4]): e[4] for e in before[1]}))
-        # First of their text: not a repeat after all. Earlier holders that a smaller id replaced: a repeat again.
-        out = [[part, mask | bit, quality, toxic, -n if bit else n]
-               for (part, mask, quality, toxic), n in change.items() if n for bit in (0, _BIT["E"])]
-        state.update((low, json.dumps([[*entry, n] for entry, n in holders.items()])))
-    yield pd.DataFrame(out, columns=["part", "mask", "quality", "toxic", "n"])
+    """Changes of counts that new rows bring about; the state has the smallest id and its holders per text of a bucket."""
+    texts: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+    change: Counter = Counter()
+
+    def first(holders: list, sign: int) -> None:
+        for part, mask, quality, toxic, n in holders:
+            change[part, mask, quality, toxic] += sign * n
+            change[part, mask | _BIT["E"], quality, toxic] -= sign * n
+
+    for frame in frames:
+        for digest, id_, plain, entries in zip(frame["digest"], frame["id"].tolist(), frame["plain"].tolist(), frame["entries"]):
+            holders = json.loads(entries)
+            if plain:
+                for *entry, n in holders:
+                    change[tuple(entry)] += n
+                continue
+            name = digest.hex()
+            low, known = texts.get(name, (None, []))
+            if low is not None and id_ > low:
+                continue
+            if low is None or id_ < low:
+                # The earlier holders repeat this one after all.
+                first(known, -1)
+                texts[name] = [id_, holders]
+            else:
+                both = Counter({tuple(e[:4]): e[4] for e in known})
+                both.update({tuple(e[:4]): e[4] for e in holders})
+                texts[name] = [low, [[*entry, n] for entry, n in both.items()]]
+            first(holders, 1)
+    state.update((json.dumps(texts),))
+    yield pd.DataFrame([(*entry, n) for entry, n in change.items() if n], columns=["part", "mask", "quality", "toxic", "n"])
 
 
 def mask_counts(spark: SparkSession, path: str, labels: DataFrame | None = None, batches: int = BATCHES, key: str = "doc_id",
@@ -144,8 +152,8 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame | None = None,
     the smallest id all pass, and null ids neither fail nor make others fail.
     Columns that are not named are not read. An empty table has no counts.
 
-    A text holds one row per task and batch on its way to its state, however
-    many rows it has, and its state is one id and the rows that hold it.
+    A text is one row per task and batch on its way to its state, however many
+    rows it has; the state has one id per text and counts of the rows that hold it.
     """
     schema = spark.read.parquet(path).schema
     files = max(1, len(spark.read.parquet(path).inputFiles()))
@@ -163,9 +171,10 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame | None = None,
     profiled = profiled.withColumn("at", F.coalesce("id", F.xxhash64("digest")))
     judged = profiled.join(marks, (F.col("at") == F.col("of")) & F.col("id").isNotNull(), "left").select(
         "id", "part", "mask", "digest", F.coalesce("quality", F.lit(False)).alias("quality"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    combined = judged.mapInArrow(_combined, "digest binary, id bigint, entries string")
-    changes = combined.withColumn("plain", F.col("id").isNull()).groupBy("digest", "plain").applyInPandasWithState(
-        _corrected, _COUNTS, "low bigint, holders string", "append", GroupStateTimeout.NoTimeout)
+    combined = judged.mapInArrow(_combined, "digest binary, id bigint, plain boolean, entries string")
+    buckets = max(1, -(-spark.read.parquet(path).count() // TEXTS))
+    changes = combined.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(
+        _corrected, _COUNTS, "texts string", "append", GroupStateTimeout.NoTimeout)
     folder = f"{work_folder(spark)}/interactions-{uuid.uuid4().hex}"
     with _settings(spark, _STATE_SETTINGS):
         query = changes.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option(

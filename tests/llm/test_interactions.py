@@ -80,8 +80,8 @@ def test_retraction_in_the_state():
     state = State()
 
     def change(id_, part):
-        frame = pd.DataFrame({"id": [id_], "entries": [f'[["{part}", 2, false, true, 1]]']})
-        return sorted(map(tuple, pd.concat(interactions._corrected((b"", False), iter([frame]), state)).to_numpy().tolist()))
+        frame = pd.DataFrame({"digest": [b"d"], "id": [id_], "plain": [False], "entries": [f'[["{part}", 2, false, true, 1]]']})
+        return sorted(map(tuple, pd.concat(interactions._corrected((0,), iter([frame]), state)).to_numpy().tolist()))
 
     assert change(9, "x") == [("x", 2, False, True, 1), ("x", 18, False, True, -1)]
     assert change(11, "y") == []
