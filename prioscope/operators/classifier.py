@@ -7,17 +7,18 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
 )
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rounding import round_exact
 from ..sources.tables import written
 from .evaluation import class_weights, classification_metrics, quality_gates, threshold_sweep
-from .features import TEXT_FEATURES, fit_label_encoder, moments, oversample, stratified_split, text_features
+from .features import TEXT_FEATURES, fit_label_encoder, moments, oversample, stratified_folds, stratified_split, text_features
 from .filling import DEFAULT_MINUTES
+from .margin import MarginModel, fit_margins, fit_sigmoids
 from .terms import TfidfModel
 
 CALIBRATION_FOLDS = 5
@@ -66,6 +67,11 @@ class FeatureModel:
     def include_delta(self) -> bool:
         return "delta" in self.means
 
+    @property
+    def size(self) -> int:
+        """Length of a feature vector."""
+        return len(self.subject.terms) + len(self.description.terms) + len(self.means)
+
     @classmethod
     def fit(cls, df: DataFrame, settings: Settings) -> "FeatureModel":
         subject = TfidfModel.fit(df, "subject", settings.subject_terms)
@@ -99,8 +105,7 @@ class MismatchModel:
 
     features: FeatureModel
     logistic: LogisticRegressionModel
-    svms: list[LinearSVCModel]         # one per calibration fold
-    platts: list[tuple[float, float]]  # slope and intercept of each
+    svm: MarginModel
     trees: GBTClassificationModel
     threshold: float = 0.5
 
@@ -111,59 +116,43 @@ class MismatchModel:
     def score_features(self, df: DataFrame) -> DataFrame:
         logistic = self.logistic.copy().setProbabilityCol("_p1").setRawPredictionCol("").setPredictionCol("")
         trees = self.trees.copy().setProbabilityCol("_p3").setRawPredictionCol("").setPredictionCol("")
-        out = trees.transform(logistic.transform(df))
-        chance, margins = F.lit(0.0), []
-        for i, (svm, (slope, intercept)) in enumerate(zip(self.svms, self.platts)):
-            margins.append(f"_margin{i}")
-            out = svm.copy().setRawPredictionCol(margins[-1]).setPredictionCol("").transform(out)
-            chance = chance + 1 / (1 + F.exp(-(vector_to_array(margins[-1])[1] * slope + intercept)))
-        out = out.withColumns({
+        out = trees.transform(logistic.transform(df)).withColumns({
             "prob_logistic": vector_to_array("_p1")[1],
-            "prob_svm": chance / len(self.svms),
+            "prob_svm": self.svm.probability(F.col("features")),
             "prob_trees": vector_to_array("_p3")[1],
-        }).drop("_p1", *margins, "_p3")
+        }).drop("_p1", "_p3")
         return out.withColumn("prob_mismatch", (F.col("prob_logistic") + F.col("prob_svm") + F.col("prob_trees")) / 3)
 
 
-def _fit_platt(svm: LinearSVCModel, held_out: DataFrame) -> tuple[float, float]:
-    """Slope and intercept that turn margins into probabilities."""
-    margins = svm.copy().setRawPredictionCol("_margin").setPredictionCol("").transform(held_out).select(
-        "label", "weight", array_to_vector(F.array(vector_to_array("_margin")[1])).alias("margin"))
-    fitted = LogisticRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(margins)
-    return float(fitted.coefficients[0]), float(fitted.intercept)
-
-
 def fit_models(train: DataFrame, features: FeatureModel, settings: Settings) -> MismatchModel:
     """Fit the three models on rows with ticket_id, label, weight and features.
 
-    The margin classifier is fitted once per fold on the other folds and
+    The margin classifier is fitted once per stratified fold on the other folds and
     calibrated on its own; its probability is the mean of all of these.
     """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    fold = F.pmod(F.xxhash64("ticket_id"), F.lit(CALIBRATION_FOLDS))
-    sizes = {r["fold"]: r["count"] for r in train.groupBy(fold.alias("fold")).count().collect()}
-    rows = sum(sizes.values())
+    rows = train.count()
 
     def fit_logistic() -> LogisticRegressionModel:
         return LogisticRegression(regParam=1 / (settings.logistic_c * rows), maxIter=settings.logistic_iterations,
                                   standardization=False, **common).fit(train)
 
-    def fit_svm(own: int) -> tuple[LinearSVCModel, tuple[float, float]]:
-        others = rows - sizes[own]
-        svm = LinearSVC(regParam=1 / (settings.svm_c * others), maxIter=settings.svm_iterations,
-                        standardization=False, **common).fit(train.where(fold != own))
-        return svm, _fit_platt(svm, train.where(fold == own))
+    def fit_svm() -> MarginModel:
+        folded = written(stratified_folds(train, CALIBRATION_FOLDS), "folds")
+        weights = fit_margins(folded, features.size, CALIBRATION_FOLDS, settings.svm_c, settings.svm_iterations)
+        margins = MarginModel(weights, (), ()).margins(F.col("features"))
+        own = written(folded.select("fold", "label", "weight", F.element_at(margins, F.col("fold") + 1).alias("margin")), "margins")
+        return MarginModel(weights, *fit_sigmoids(own, CALIBRATION_FOLDS))
 
     def fit_trees() -> GBTClassificationModel:
         return GBTClassifier(maxIter=settings.trees, maxDepth=settings.depth, stepSize=settings.step,
                              subsamplingRate=settings.subsample, seed=settings.seed, **common).fit(train)
 
     # The trees take longest.
-    fits = [fit_trees, fit_logistic, *[lambda own=own: fit_svm(own) for own in sorted(sizes)]]
     target = inheritable_thread_target(train.sparkSession)
     with ThreadPool(PARALLEL_FITS) as pool:
-        trees, logistic, *calibrated = [r.get() for r in [pool.apply_async(target(f)) for f in fits]]
-    return MismatchModel(features, logistic, [svm for svm, _ in calibrated], [platt for _, platt in calibrated], trees)
+        trees, logistic, svm = [r.get() for r in [pool.apply_async(target(f)) for f in (fit_trees, fit_logistic, fit_svm)]]
+    return MismatchModel(features, logistic, svm, trees)
 
 
 @dataclass(frozen=True)

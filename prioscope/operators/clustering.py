@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.severity import LABELS, severity_label
+from .kmeans import Clusters, fit_kmeans
 
 RESTARTS = 10
-# Restarts that run side by side.
-PARALLEL_FITS = 4
 MAX_ITERATIONS = 300
 DEFAULT_SEVERITY = "Medium"
 
@@ -48,16 +43,7 @@ def attach_cluster_severity(df: DataFrame, ranking: DataFrame, cluster: str = "c
         "cluster_severity", F.coalesce("cluster_severity", F.lit(DEFAULT_SEVERITY)))
 
 
-def fit_clusters(vectors: DataFrame, k: int = len(LABELS), seeds: Sequence[int] = range(42, 42 + RESTARTS),
-                 max_iter: int = MAX_ITERATIONS, features: str = "features") -> KMeansModel:
-    """Best of several k-means runs by training cost, the first of equal ones; persist `vectors` first."""
-    def fit(seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="cluster_id").fit(vectors)
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), seeds, chunksize=1)
-    return min(models, key=lambda model: model.summary.trainingCost)
-
-
-def dense_features(df: DataFrame, array: str, out: str = "features") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.col(array)))
+def fit_clusters(df: DataFrame, vector: str, k: int = len(LABELS), seeds: Sequence[int] = range(42, 42 + RESTARTS),
+                 max_iter: int = MAX_ITERATIONS) -> Clusters:
+    """Best of several k-means runs by their cost, all fitted side by side."""
+    return fit_kmeans(df, vector, k, list(seeds), max_iter)

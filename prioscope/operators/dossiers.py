@@ -8,7 +8,7 @@ from ..functions.evidence import STYLES, Evidence, evidence
 from ..functions.severity import clean_priority
 from .filling import DEFAULT_MINUTES
 from .signals import FIXED_CUTS
-from .statistics import QUARTILES, exact_quantiles, with_one_row
+from .statistics import QUARTILES, with_quantiles
 
 
 def attach_tickets(predictions: DataFrame, tickets: DataFrame, columns: list[str], key: str = "ticket_id") -> DataFrame:
@@ -35,7 +35,7 @@ def _evidence(df: DataFrame, style: str, cuts: tuple[Column, Column, Column]) ->
 def with_cuts(df: DataFrame, style: str, minutes: str = "resolution_minutes") -> DataFrame:
     """Tier cuts p25, p50, p75: the table's own quartiles for full records, else fixed ones."""
     if style == "full":
-        return with_one_row(df, exact_quantiles(df, minutes, QUARTILES))
+        return with_quantiles(df, minutes, QUARTILES)
     return df.withColumns({name: F.lit(value) for name, value in FIXED_CUTS.items()})
 
 

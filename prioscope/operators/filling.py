@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.durations import first_token_number, starts_with_digit, to_number
-from .statistics import exact_quantiles, with_one_row
+from .quantiles import quantiles
 
 # Fill-ins in minutes.
 NO_DIGIT_MINUTES = 30.0
@@ -15,11 +15,9 @@ DEFAULT_MINUTES = 60.0
 
 def median_filled(df: DataFrame, value: str, out: str, last_resort: float | None = None) -> DataFrame:
     """Nulls of a numeric column become its median, or `last_resort` when it has no value."""
-    median = exact_quantiles(df, value, {"_median": 0.5})
-    choices = [F.col(value), F.col("_median")]
-    if last_resort is not None:
-        choices.append(F.lit(last_resort))
-    return with_one_row(df, median).withColumn(out, F.coalesce(*choices)).drop("_median")
+    median = quantiles(df, {"median": (value, 0.5)})["median"]
+    filler = last_resort if median is None else median
+    return df.withColumn(out, F.coalesce(value, F.lit(filler).cast("double")))
 
 
 def fill_median(df: DataFrame, raw: str, out: str = "resolution_minutes") -> DataFrame:
@@ -33,20 +31,18 @@ def fill_first_token_when_sparse(df: DataFrame, raw: str, out: str = "resolution
     In that case values that do not start with a digit become 30.
     """
     numbers = df.withColumn("_number", to_number(F.col(raw)))
-    sparse = numbers.agg((F.count_if(F.col("_number").isNull()) > F.count("*") * 0.5).alias("_sparse"))
-    token = F.when(starts_with_digit(F.col(raw)), first_token_number(F.col(raw))).otherwise(NO_DIGIT_MINUTES)
-    chosen = with_one_row(numbers, sparse).withColumn(
-        "_number", F.when(F.col("_sparse"), token).otherwise(F.col("_number"))).drop("_sparse")
-    return median_filled(chosen, "_number", out).drop("_number")
+    if numbers.agg(F.count_if(F.col("_number").isNull()) > F.count("*") * 0.5).first()[0]:
+        numbers = numbers.withColumn("_number", F.when(
+            starts_with_digit(F.col(raw)), first_token_number(F.col(raw))).otherwise(NO_DIGIT_MINUTES))
+    return median_filled(numbers, "_number", out).drop("_number")
 
 
 def fill_first_token_when_empty(df: DataFrame, raw: str, out: str = "resolution_minutes") -> DataFrame:
     """When no value is a number, read first tokens; then fill the median, or 30 if still empty."""
     numbers = df.withColumn("_number", to_number(F.col(raw)))
-    empty = numbers.agg((F.count("_number") == 0).alias("_empty"))
-    chosen = with_one_row(numbers, empty).withColumn(
-        "_number", F.when(F.col("_empty"), first_token_number(F.col(raw))).otherwise(F.col("_number"))).drop("_empty")
-    return median_filled(chosen, "_number", out, ALL_MISSING_MINUTES).drop("_number")
+    if not numbers.agg(F.count("_number")).first()[0]:
+        numbers = numbers.withColumn("_number", first_token_number(F.col(raw)))
+    return median_filled(numbers, "_number", out, ALL_MISSING_MINUTES).drop("_number")
 
 
 def fixed_fill(raw: Column, minutes: float = DEFAULT_MINUTES) -> Column:

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import written
-from .clustering import MAX_ITERATIONS, RESTARTS, attach_cluster_severity, dense_features, fit_clusters, rank_clusters
+from .clustering import MAX_ITERATIONS, RESTARTS, attach_cluster_severity, fit_clusters, rank_clusters
 from .features import fit_label_encoder
 from .filling import ALL_MISSING_MINUTES, median_filled
 from .latent import LatentModel, fit_latent
@@ -43,13 +43,9 @@ def with_text_clusters(
     seeds: Sequence[int] = range(42, 42 + RESTARTS), max_iter: int = MAX_ITERATIONS,
 ) -> DataFrame:
     """Add cluster_id, the best of several k-means runs over the latent vectors."""
-    vectors = written(dense_features(with_latent_vectors(df, text, terms, k)[0], "vector").drop("vector"), "vectors")
-    points = vectors.select("features").persist()
-    try:
-        model = fit_clusters(points, seeds=seeds, max_iter=max_iter)
-    finally:
-        points.unpersist()
-    return model.transform(vectors).drop("features")
+    vectors = written(with_latent_vectors(df, text, terms, k)[0], "vectors")
+    found = fit_clusters(vectors, "vector", seeds=seeds, max_iter=max_iter)
+    return vectors.withColumn("cluster_id", found.nearest(F.col("vector"))).drop("vector")
 
 
 def cluster_signal(df: DataFrame, minutes: str | None = "resolution_minutes", **options) -> DataFrame:

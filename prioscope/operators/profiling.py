@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rounding import round_exact
 from ..functions.severity import LABELS
-from .statistics import QUARTILES, exact_quantiles, with_one_row
+from .quantiles import quantiles
+from .statistics import QUARTILES
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def describe(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("minimum"), F.max(value).alias("maximum"),
     )
-    row = with_one_row(moments, exact_quantiles(df, column, QUARTILES))
+    found = quantiles(df, {name: (column, share) for name, share in QUARTILES.items()})
+    row = moments.withColumns({name: F.lit(value).cast("double") for name, value in found.items()})
     names = ("mean", "std", "minimum", "p25", "p50", "p75", "maximum")
     return row.select("n", *[round_exact(F.col(name), digits).alias(name) for name in names])
 

@@ -14,7 +14,7 @@ from ..functions.severity import (
     tiered_severity,
 )
 from ..functions.text import joined_text, word_count
-from .statistics import QUARTILES, exact_quantiles, with_one_row
+from .statistics import QUARTILES, with_quantiles
 
 FIXED_CUTS = {"p25": 30.0, "p50": 60.0, "p75": 120.0}
 
@@ -69,14 +69,14 @@ def top_keyword(df: DataFrame, escalation: Sequence[tuple[str, float]] = lx.ESCA
 
 def quartile_bucket(df: DataFrame, value: str = "predicted_minutes", out: str = "regression_severity") -> DataFrame:
     """Severity by the quartiles of a predicted resolution time."""
-    bounded = with_one_row(df, exact_quantiles(df, value, QUARTILES))
+    bounded = with_quantiles(df, value, QUARTILES)
     return bounded.withColumn(
         out, quartile_severity(F.col(value), F.col("p25"), F.col("p50"), F.col("p75"))).drop(*QUARTILES)
 
 
 def tier_by_quartiles(df: DataFrame, value: str = "resolution_minutes") -> DataFrame:
     """Resolution tier by the quartiles of the table itself; keeps the cuts."""
-    bounded = with_one_row(df, exact_quantiles(df, value, QUARTILES))
+    bounded = with_quantiles(df, value, QUARTILES)
     return bounded.withColumn(
         "resolution_tier", resolution_tier(F.col(value), F.col("p25"), F.col("p50"), F.col("p75")))
 

@@ -1,47 +1,26 @@
 """Exact order statistics and row numbers without gathering rows in one task.
 
-Rows are first counted per coarse bucket, which locates the wanted ranks; the
-values of the few buckets that hold one are then counted and narrowed twice more
-before a task sorts what is left. All counts are combined before the shuffle, so
-a value shared by a third of all rows costs one row per task.
+Ranks per group: rows are first counted per coarse bucket, which locates the wanted
+ranks; the values of the few buckets that hold one are then counted and narrowed
+twice more before a task sorts what is left. All counts are combined before the
+shuffle, so a value shared by a third of all rows costs one row per task.
+Quantiles of whole tables come from sketches and counts (`quantiles`).
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.tables import written
+from .quantiles import quantiles
 
-# Buckets per factor of two; doubles span at most 2 x 2,100 such factors, which
-# bounds the bucket table whatever the data.
-BUCKETS_PER_OCTAVE = 512
-_OFFSET = 1100 * BUCKETS_PER_OCTAVE
 NO_VALUE = 2**62
-# Parts of a bucket per narrowing: two leave at most 2**12 different doubles.
-PARTS = 2**16
-_LARGEST = sys.float_info.max
 # monotonically_increasing_id holds the partition above these bits and the place in it below.
 _PLACE_BITS = 33
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Order-preserving coarse bucket of a double."""
-    # Infinity shares the last bucket.
-    octave = F.floor(F.log2(F.least(F.abs(value), F.lit(_LARGEST))) * BUCKETS_PER_OCTAVE) + _OFFSET
-    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * octave)
-
-
-def part_of_doubles(value: Column, low: Column, high: Column) -> Column:
-    """Order-preserving part of `value` between the finite ends of its bucket; infinities have parts of their own."""
-    bottom, top = F.greatest(low, F.lit(-_LARGEST)), F.least(high, F.lit(_LARGEST))
-    inside = F.floor(F.coalesce(F.try_divide(value - bottom, top - bottom), F.lit(0.0)) * (PARTS - 1))
-    return F.when(value > _LARGEST, F.lit(PARTS).cast("bigint")).when(
-        value < -_LARGEST, F.lit(-1).cast("bigint")).otherwise(inside)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join by equal keys, a null key being equal to a null key; columns of `left`, then the others of `right`."""
     named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -53,8 +32,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def values_at_ranks(
     rows: DataFrame, bucket: Column, ranks: Callable[[Column, Column], Column], groups: Sequence[str] = (),
-    bucket_type: str = "bigint",
-    parts: Sequence[Callable[[Column, Column, Column], Column]] = (part_of_doubles, part_of_doubles),
+    bucket_type: str = "bigint", parts: Sequence[Callable[[Column, Column, Column], Column]] = (),
 ) -> DataFrame:
     """Values at given 1-based ranks, per group: columns groups, target, value, total.
 
@@ -108,31 +86,16 @@ def values_at_ranks(
 def exact_quantiles(df: DataFrame, column: str | Column, probabilities: dict[str, float]) -> DataFrame:
     """One row with the linearly interpolated quantile for each name; nulls are ignored.
 
-    Without any value the row holds nulls.
+    Without any value the row holds nulls. The quantiles are found at once, by two scans.
     """
-    value = F.col(column) if isinstance(column, str) else column
-    rows = df.select(F.nanvl(value.cast("double"), F.lit(None).cast("double")).alias("value"))
-    shares = list(probabilities.items())
-
-    def position(share: float, total: Column) -> Column:
-        return (total - 1) * F.lit(share)
+    found = quantiles(df, {name: (column, share) for name, share in probabilities.items()})
+    return df.sparkSession.range(1).select(*[F.lit(value).cast("double").alias(name) for name, value in found.items()])
 
-    def ranks(total: Column, _: Column) -> Column:
-        return F.array(*[(f(position(share, total)) + 1).cast("bigint")
-                         for _, share in shares for f in (F.floor, F.ceil)])
 
-    found = values_at_ranks(rows, magnitude_bucket(F.col("value")), ranks)
-    row = found.agg(
-        F.max("total").alias("_total"),
-        *[F.max(F.when(F.col("target") == i, F.col("value"))).alias(f"_v{i}") for i in range(2 * len(shares))],
-    )
-    out = []
-    for i, (name, share) in enumerate(shares):
-        low, high = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
-        spot = position(share, F.col("_total"))
-        between = low + (high - low) * (spot - F.floor(spot))
-        out.append(F.when(low == high, low).otherwise(between).alias(name))
-    return row.select(*out)
+def with_quantiles(df: DataFrame, column: str | Column, probabilities: dict[str, float]) -> DataFrame:
+    """Attach quantiles of a column to every row, as constants."""
+    found = quantiles(df, {name: (column, share) for name, share in probabilities.items()})
+    return df.withColumns({name: F.lit(value).cast("double") for name, value in found.items()})
 
 
 def approximate_quantiles(df: DataFrame, column: str, probabilities: dict[str, float], accuracy: int = 10_000) -> DataFrame:

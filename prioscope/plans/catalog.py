@@ -612,11 +612,9 @@ def regression_severity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means with restarts on given vectors."""
-    vectors = clustering.dense_features(
-        read_table(spark, d, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>")), "vector")
-    vectors = written(vectors.select("vec_id", "features"), "embeddings")
-    return clustering.fit_clusters(vectors).transform(vectors).select(
-        "vec_id", "cluster_id")
+    vectors = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    found = clustering.fit_clusters(vectors, "vector")
+    return vectors.select("vec_id", found.nearest(F.col("vector")).alias("cluster_id"))
 
 
 # Fits of this process, by application and folder: four queries read the same one.

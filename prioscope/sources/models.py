@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, LinearSVCModel, LogisticRegressionModel
+import numpy as np
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import SparkSession
 
 from ..operators.classifier import FeatureModel, MismatchModel
+from ..operators.margin import MarginModel
 from ..operators.terms import TfidfModel
 
 PARTS = {"logistic": LogisticRegressionModel, "trees": GBTClassificationModel}
@@ -15,8 +17,10 @@ TEXTS = ("subject", "description")
 def save_model(spark: SparkSession, model: MismatchModel, path: str) -> None:
     for name in PARTS:
         getattr(model, name).write().overwrite().save(f"{path}/{name}")
-    for i, svm in enumerate(model.svms):
-        svm.write().overwrite().save(f"{path}/svm{i}")
+    folds = [(fold, weights, slope, offset) for fold, (weights, slope, offset) in enumerate(
+        zip(model.svm.weights.tolist(), model.svm.slopes, model.svm.offsets))]
+    spark.createDataFrame(folds, "fold int, weights array<double>, slope double, offset double").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/svm")
     terms = [(text, i, term, idf) for text in TEXTS
              for i, (term, idf) in enumerate(zip(getattr(model.features, text).terms, getattr(model.features, text).idf))]
     spark.createDataFrame(terms, "text string, position int, term string, idf double").coalesce(1).write.mode(
@@ -25,8 +29,7 @@ def save_model(spark: SparkSession, model: MismatchModel, path: str) -> None:
     spark.createDataFrame(numbers, "position int, name string, mean double, deviation double").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/numbers")
     spark.createDataFrame(
-        [(model.features.channels, *map(list, zip(*model.platts)), float(model.threshold))],
-        "channels array<string>, slopes array<double>, intercepts array<double>, threshold double",
+        [(model.features.channels, float(model.threshold))], "channels array<string>, threshold double",
     ).write.mode("overwrite").parquet(f"{path}/settings")
 
 
@@ -40,6 +43,6 @@ def load_model(spark: SparkSession, path: str) -> MismatchModel:
     features = FeatureModel(
         texts["subject"], texts["description"], list(row.channels),
         {r.name: r.mean for r in numbers}, {r.name: r.deviation for r in numbers})
-    platts = list(zip(row.slopes, row.intercepts))
-    svms = [LinearSVCModel.load(f"{path}/svm{i}") for i in range(len(platts))]
-    return MismatchModel(features, svms=svms, platts=platts, threshold=row.threshold, **parts)
+    folds = spark.read.parquet(f"{path}/svm").orderBy("fold").collect()
+    svm = MarginModel(np.array([r.weights for r in folds]), tuple(r.slope for r in folds), tuple(r.offset for r in folds))
+    return MismatchModel(features, svm=svm, threshold=row.threshold, **parts)
