@@ -267,25 +267,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     once. Repeated keys are documents of their own. An empty table gives none.
     """
     marked = written(fingerprints(docs, key, text, shingle), "fingerprints")
-    prints = written(marked.groupBy("fingerprint").agg(F.min("key").alias("first")), "distinct-fingerprints")
+    owners = _components(marked, distance, bucket)
+    firsts = marked.groupBy("fingerprint").agg(F.min("key").alias("first")).join(owners, "fingerprint").groupBy("component").agg(
+        F.min("first").alias("component_id"))
+    ids = owners.join(firsts, "component").select("fingerprint", "component_id")
+    return marked.join(ids, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
+
+
+def _components(marked: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """fingerprint and component (the smallest fingerprint reachable) of every different fingerprint."""
+    prints = written(marked.select("fingerprint").distinct(), "distinct-fingerprints")
     links = written(near_links(prints, distance, bucket), "near-links")
     parts = written(connected_components(links), "components")
-    owners = prints.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
+    return prints.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "component", F.coalesce("component", "fingerprint"))
-    firsts = owners.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = owners.join(firsts, "component").select("fingerprint", "component_id")
-    return marked.join(ids, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-             distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the one with the smallest key.
+             distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs` without near-duplicates: one of each component of linked fingerprints.
 
-    Rows with a null key cannot be named by a component and stay, all of them. Of
-    rows that repeat a key one stays.
+    That is the row with the smallest key (null last), then the smallest fingerprint,
+    then the smallest hash of the row. Rows that repeat a key are documents like
+    others: those of other components stay. Columns stay as they are.
     """
-    kept = near_duplicates(docs, key, text, shingle, distance).where(F.col(key) == F.col("component_id")).select(
-        F.col(key).alias("kept")).distinct()
-    rows = docs.select(column(key).alias("key"), packed(docs))
-    one = rows.join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"])
-    return one.unionByName(rows.where(F.col("key").isNull())).select(*unpacked(docs.columns, []))
+    rows = docs.select(column(key).alias("key"), column(text).alias("text"), packed(docs))
+    hashed = rows.withColumn("mark", F.xxhash64(F.to_json("row")))
+    # The fingerprints carry key and row hash, not the row.
+    names = F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("key"), F.col("mark").alias("mark"))
+    marked = written(fingerprints(hashed.select(names.alias("name"), "text"), "name", "text", shingle).withColumnRenamed("key", "name"), "fingerprints")
+    owners = _components(marked, distance, bucket)
+    kept = marked.groupBy("fingerprint").agg(F.min("name").alias("name")).join(owners, "fingerprint").groupBy("component").agg(
+        F.min(F.struct("name.last", "name.key", "fingerprint", "name.mark")).alias("k")).select(
+        F.col("k.key").alias("kept"), F.col("k.mark").alias("kept_mark"))
+    chosen = hashed.join(kept, F.col("key").eqNullSafe(F.col("kept")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    # Rows that repeat a whole row are one document.
+    return chosen.dropDuplicates(["key", "mark"]).select(*unpacked(docs.columns, []))
