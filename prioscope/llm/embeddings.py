@@ -122,6 +122,7 @@ def _range_join(classes: DataFrame, cosine: float, block: int) -> DataFrame:
         seeks = table["seeks"].to_numpy()
         ids, n = table["id"].to_numpy(), table["n"].to_numpy()
         data = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+        data = _scaled(data)
         norm = np.sqrt((data * data).sum(axis=1))
         linked = (data[seeks] @ data[~seeks].T) / np.outer(norm[seeks], norm[~seeks]) >= cosine
         linked &= ids[seeks][:, None] != ids[~seeks][None, :]
@@ -145,7 +146,11 @@ def _range_join(classes: DataFrame, cosine: float, block: int) -> DataFrame:
     return seekers.unionByName(others).groupBy(*cell, "a", "b").applyInArrow(join, "id bigint, links bigint, head bigint")
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Divided by a power of two, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
-    # Scaled first, so that squares neither overflow nor vanish.
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
