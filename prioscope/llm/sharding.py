@@ -18,8 +18,10 @@ from .common import column, packed, unpacked
 
 SHARDS = 24
 BUCKET_BYTES = 4 << 20
-# The offset table has one row per bucket and is broadcast: at most 262,144 rows (4 MB). Beyond 1 TB buckets grow instead.
-MAX_BUCKETS = 1 << 18
+# The offset table has one row per bucket and is broadcast: at most 4,194,304 rows (about 100 MB). Beyond 16 TB buckets grow instead.
+MAX_BUCKETS = 1 << 22
+# Tasks of the second pass; beyond so many buckets a task takes several, one after the other.
+MAX_TASKS = 1 << 16
 RECORD_OVERHEAD = 8
 
 
@@ -45,8 +47,10 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 17, text
         F.pmod(F.xxhash64(F.lit(seed), F.col("place")), F.lit(buckets)).cast("int").alias("bucket"),
         F.xxhash64(F.lit(seed + 1), F.col("place")).alias("place"), "row")
     # Sorted before they are shuffled, buckets of a task too: the draw depends on the seed, not on the order of arrival.
-    grouped = scattered.repartition(buckets, "bucket").groupBy("bucket").agg(
-        F.array_sort(F.collect_list(F.struct("place", "row"))).alias("records")).sortWithinPartitions("bucket")
+    # Rows are compared by place alone: they may hold columns that have no order.
+    by_place = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+    grouped = scattered.repartition(min(buckets, MAX_TASKS), "bucket").groupBy("bucket").agg(
+        F.array_sort(F.collect_list(F.struct("place", "row")), by_place).alias("records")).sortWithinPartitions("bucket")
     shuffled = grouped.select("bucket", F.shuffle("records", seed).alias("records"))
     stage = written(shuffled.select("bucket", F.posexplode("records").alias("place", "record"))
                     .select("bucket", "place", "record.row"), "shuffled")
