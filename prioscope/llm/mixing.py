@@ -6,13 +6,13 @@ probabilities of three documents at a time along the null space of the two
 balance constraints (documents, words) until one of them is 0 or 1, and goes on
 with the next document, so both totals stay put. It runs in chunks of each
 source; the at most two fractional documents a chunk leaves fly again together
-with those of other chunks, until one chunk per source is left. What that leaves
-lands on the combination nearest to its expected words.
+with those of other chunks, until one chunk per source is left. There a few dozen
+units of all sizes wait while the others fly; they and what the flight leaves land
+on the combination that is nearest to their expected words, then documents.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,6 +27,8 @@ SHARE = 1.5
 MOST_COPIES = 2.0
 # Units that one flight holds in memory.
 CHUNK = 4096
+# Units that wait for the landing.
+RESERVE = 21
 _EPS = 1e-9
 
 
@@ -129,6 +131,12 @@ def cube(p: np.ndarray, size: np.ndarray, seed: int, land: bool) -> tuple[np.nda
     waiting = [i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS]
     taken[p >= 1 - _EPS] = 1
     p[(p <= _EPS) | (p >= 1 - _EPS)] = 0
+    reserve: list[int] = []
+    if land:
+        # Evenly through the units as they come, so that all sizes are among them.
+        reserve = [waiting[i] for i in np.unique(np.linspace(0, len(waiting) - 1, RESERVE).astype(int))] if waiting else []
+        held = set(reserve)
+        waiting = [i for i in waiting if i not in held]
     waiting.reverse()
     prob, sizes, chance = p.tolist(), size.tolist(), iter(draw.random(len(waiting)).tolist())
     active: list[int] = []
@@ -155,16 +163,37 @@ def cube(p: np.ndarray, size: np.ndarray, seed: int, land: bool) -> tuple[np.nda
             else:
                 still.append(i)
         active = still
-    if land and active:
-        expected = sum(prob[i] * sizes[i] for i in active)
-        number = sum(prob[i] for i in active)
-        best = min(itertools.product((0, 1), repeat=len(active)), key=lambda pick: (
-            abs(sum(b * sizes[i] for b, i in zip(pick, active)) - expected), abs(sum(pick) - number)))
-        for b, i in zip(best, active):
-            taken[i], prob[i] = b, 0.0
+    if land:
+        last = active + reserve
+        for i, picked in zip(last, _landed([prob[i] for i in last], [sizes[i] for i in last])):
+            taken[i], prob[i] = picked, 0.0
     return np.array(prob, float), taken
 
 
+def _landed(prob: list[float], size: list[float]) -> list[int]:
+    """1 for each unit of the combination nearest to the expected words; half a word counts like a document.
+
+    Sums of either half of the units are listed, and each of one half meets those
+    of the other that are next to what it lacks.
+    """
+    p, size = np.array(prob), np.array(size)
+    words, number = float(p @ size), float(p.sum())
+    half = len(p) // 2
+
+    def sums(at: slice) -> tuple[np.ndarray, np.ndarray]:
+        picks = (np.arange(1 << len(p[at]))[:, None] >> np.arange(len(p[at]))) & 1
+        return picks, np.stack([picks @ size[at], picks.sum(axis=1)], axis=1)
+
+    (left, of_left), (right, of_right) = sums(slice(0, half)), sums(slice(half, len(p)))
+    order = np.lexsort((of_right[:, 1], of_right[:, 0]))
+    at = np.searchsorted(of_right[order, 0], words - of_left[:, 0])
+    near = np.clip(at[:, None] + np.arange(-4, 4), 0, len(order) - 1)
+    total = of_left[:, None, :] + of_right[order[near]]
+    cost = np.abs(total[..., 0] - words) + 0.5 * np.abs(total[..., 1] - number)
+    i, j = np.unravel_index(cost.argmin(), cost.shape)
+    return np.concatenate([left[i], right[order[near[i, j]]]]).tolist()
+
+
 def _null_space(sizes: list[float]) -> tuple[float, ...] | None:
     """A move that changes neither the number of documents nor of words."""
     if len(sizes) == 3:
