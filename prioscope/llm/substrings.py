@@ -37,6 +37,8 @@ WINDOW = 13
 # Text bytes whose windows meet in one bucket, windows per shard, and routed text bytes per streaming task.
 BUCKET_BYTES = 24 << 20
 LEAST_BUCKETS = 16
+# Beyond so many, tasks take several buckets, one after the other.
+MOST_TASKS = 1 << 16
 SHARD_WINDOWS = 20_000
 STREAM_BYTES = 1 << 20
 # Documents of a batch; windows that more of them share send one posting for all, and their documents are joined apart.
@@ -219,7 +221,9 @@ def _confirmed(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
     posted = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull()).mapInArrow(
         post, "bucket bigint, " + ", ".join(f"{c} binary" for c in blobs))
-    return posted.groupBy("bucket").applyInArrow(meet, "kind int, a bigint, b bigint, values array<bigint>")
+    # As many tasks as buckets, whatever the session's partitions: adaptive execution would join them again.
+    dealt = posted.repartition(min(2 * buckets, MOST_TASKS), "bucket")
+    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a bigint, b bigint, values array<bigint>")
 
 
 def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
