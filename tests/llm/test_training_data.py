@@ -1,18 +1,21 @@
 """The operators against brute force, on small tables with nulls, empty and long texts, repeats and clashing names."""
 
 import hashlib
+import itertools
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from prioscope.llm import (
     common, decontamination, embeddings, lines, mixing, preferences, sharding, simhash, substrings, toxicity, warc,
 )
-from prioscope.llm.queries import QUERIES
+from prioscope.llm.queries import QUERIES, SQL
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -40,6 +43,14 @@ def test_sharding(docs):
     assert sharding.external_shuffle(docs.limit(0)).count() == 0
 
 
+def test_sharding_of_columns_without_order(spark):
+    df = spark.range(50).selectExpr("id AS doc_id", "'t' AS text", "map('a', id) AS m", "id AS shard")
+    out = sharding.external_shuffle(df, shards=3, bucket_bytes=32).collect()
+    assert sorted(r["m"]["a"] for r in out) == list(range(50)) and {r["shard"] for r in out} == {0, 1, 2}
+    again = sharding.external_shuffle(df, shards=3, bucket_bytes=32).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out} == {r["doc_id"]: (r["shard"], r["slot"]) for r in again}
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
@@ -87,6 +98,18 @@ def test_near_links_reach_all_pairs(spark, bucket, distance):
     assert {v: found.get(v, v) for v in values} == {v: find(v) for v in values}
 
 
+def test_one_document_of_each_component_stays(spark):
+    a, b = text_of(31, 40), text_of(32, 40)
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "y"), (3, a + "!", "z"), (None, text_of(33, 40), "n"), (None, b, "m"), (5, None, "e"), (4, "", "e"),
+            (1, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mark string").withColumn("m", F.create_map("mark", "mark"))
+    kept = simhash.keep_one(df.repartition(3))
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"], r["mark"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a, "x"), (1, b, "x"), (None, rows[4][1], "n"), (4, "", "e")], key=str) or (3, a + "!", "z") in got
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     out = dict(common.connected_components(spark.createDataFrame(chain, "u bigint, v bigint")).collect())
@@ -154,6 +177,14 @@ def test_embeddings(spark):
     assert out[200]["component_id"] == 0 and not out[200]["kept"] and out[201]["component_id"] == 201 and out[204]["n_links"] == 0
 
 
+def test_embeddings_of_any_length(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 0.0], 0), (5, [1e308, 0.0], 0), (6, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("links", F.lit("clash"))
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.embedding_duplicates(df).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+    assert embeddings.embedding_duplicates(df.limit(0)).count() == 0
+
+
 def test_suffix_array_and_search():
     draw = np.random.default_rng(4)
     text = np.concatenate([draw.integers(1, 4, 300), np.ones(50, int), draw.integers(1, 4, 300)])
@@ -193,6 +224,31 @@ def test_mixing(spark):
     assert mixing.mix(df).columns == df.columns and mixing.plan_mix(df.limit(0)).count() == 0
 
 
+def test_mixing_lands_next_to_its_targets(spark):
+    """Few documents per source, some of them as large as a third of it."""
+    draw = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(draw.lognormal(5, 1.2))), f"s{i % 12:02}") for i in range(600)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for source in {r["source"] for r in plan}:
+        own = [r for r in plan if r["source"] == source]
+        miss = abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"])
+        assert miss <= max(2, 0.002 * own[0]["target"]), (source, miss, own[0]["target"])
+        assert all(r["copies"] <= 2 * r["rows"] for r in own)
+
+
+def test_landing_is_the_best_combination():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 2, 9):
+        p, size = draw.random(n).tolist(), draw.integers(1, 50, n).astype(float).tolist()
+        got = mixing._landed(p, size)
+
+        def miss(pick):
+            return abs(sum(b * s for b, s in zip(pick, size)) - np.dot(p, size))
+
+        best = min(miss(pick) for pick in itertools.product((0, 1), repeat=n))
+        assert len(got) == n and miss(got) <= best + 0.5 * n
+
+
 def test_mixing_divides_copies_exactly(spark):
     rows = [(None, "a b c", "t", i) for i in range(61)] + [(i, text_of(i, 5), "s", i) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, x int")
@@ -241,36 +297,159 @@ def test_lines(spark):
 
 def test_block_max_is_exact():
     draw = np.random.default_rng(8)
-    vectors = []
-    for _ in range(500):
-        raw = {int(t): float(draw.random()) for t in draw.choice(30, 4, replace=False)}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        vectors.append({t: w / norm for t, w in raw.items()})
-    index = toxicity.BlockMaxIndex(vectors, 30)
-    for query in vectors[:40]:
-        ids, scores = index.nearest(query, 15)
-        exact = sorted(((-sum(w * v.get(t, 0) for t, w in query.items()), i) for i, v in enumerate(vectors)))[:15]
-        assert np.allclose(scores, [-s for s, _ in exact])
-
-
-def test_toxicity(spark):
-    rows = [(i, f"{text_of(i, 30)} {'vile' if i % 4 == 0 else 'fine'}") for i in range(400)] + [(900, None), (901, "")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(3, None)], "doc_id bigint, toxic int")
+    rows = [np.sort(draw.choice(30 if i % 3 else 400, 6, replace=False)) for i in range(700)]
+    weights = [draw.random(6) * (draw.random(6) < 0.9) for _ in rows]
+    start = np.arange(701) * 6
+    index = toxicity.BlockMaxIndex(start, np.concatenate(rows).astype(np.int32), np.concatenate(weights), 400)
+    assert 0 < (index.slot >= 0).sum() < 400
+    whole = np.zeros((700, 400))
+    for i, (t, w) in enumerate(zip(rows, weights)):
+        whole[i, t] = w / max(np.sqrt(w @ w), 1e-300)
+    for i in range(0, 700, 9):
+        found, scores = index.nearest(rows[i], weights[i], 15)
+        exact = whole @ whole[i]
+        order = np.lexsort((np.arange(700), -exact))[:15]
+        order = order[exact[order] > 0]
+        assert np.allclose(scores, exact[order], atol=1e-6) and np.allclose(exact[found], exact[order], atol=1e-6)
+    assert len(index.nearest(rows[0], np.zeros(6), 15)[0]) == 0
+
+
+def toxic_rows(n, width=30):
+    marks = ("vile rot scum", "fine day sun")
+    return [(i, f"{text_of(i, width)} {marks[i % 4 > 0]} {text_of(900 + i, 3)}") for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [44, 60, 80, 400])
+def test_toxicity_at_any_number_of_labels(spark, n):
+    rows = toxic_rows(n)
+    df = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "vile")], "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(n)] + [(3, None), (None, 1), (2, 7)], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(df, marks.where(~toxicity.held_out()))
     out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, model).collect()}
-    assert all((out[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in range(400)) and 0 <= out[900] == out[901] < 0.3
-    none = toxicity.fit_toxicity(df, marks.limit(0))
-    assert {r["score"] for r in toxicity.score_toxicity(df, none).collect()} == {0.5}
+    assert sum((out[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in range(n)) == n
+    assert 0 <= out[900] == out[901] <= 1
+
+
+def test_toxicity_equals_brute_force(spark):
+    rows = toxic_rows(120, 12) + [(500 + i, text_of(700 + i, 25)) for i in range(30)] + [(7, text_of(7, 9))]
+    df = spark.createDataFrame([(i, t, 1.0, "x") for i, t in rows], "doc_id bigint, text string, score double, `row` string")
+    marks = {i: int(i % 4 == 0) for i in range(120) if i != 7}
+    model = toxicity.fit_toxicity(df, spark.createDataFrame(list(marks.items()), "doc_id bigint, toxic int"))
+    words = [t.lower().split() for _, t in rows]
+    df_of = {w: sum(w in ws for ws in words) for ws in words for w in ws}
+    seen = {w: sum(w in ws for (i, _), ws in zip(rows, words) if i in marks) for w in df_of}
+    hits = {w: sum(marks[i] for (i, _), ws in zip(rows, words) if i in marks and w in ws) for w in df_of}
+    share = (sum(marks.values()) + 1) / (len(marks) + 2)
+    prior = toxicity.PRIOR
+
+    def vector(ws):
+        out = {w: (1 + math.log(ws.count(w))) * (math.log((1 + len(rows)) / (1 + df_of[w])) + 1) * abs(
+            math.log((hits[w] + prior * share) / (seen[w] - hits[w] + prior * (1 - share))) - math.log(share / (1 - share))) for w in set(ws) if seen[w]}
+        length = math.sqrt(sum(x * x for x in out.values())) or 1.0
+        return {w: x / length for w, x in out.items()}
+
+    examples = [(i, marks[i], vector(ws)) for (i, _), ws in zip(rows, words) if i in marks]
+    scored = toxicity.score_toxicity(df, model)
+    assert scored.columns == ["doc_id", "text", "row", "score", "evidence"]
+    got = {(r["doc_id"], r["text"]): r for r in scored.collect()}
+    for (i, t), ws in zip(rows, words):
+        own = vector(ws)
+        near = sorted(((-sum(x * v.get(w, 0.0) for w, x in own.items()), k, y) for k, y, v in examples))[:toxicity.NEIGHBOURS]
+        near = [(-c, y) for c, k, y in near if -c > 1e-9]
+        assert [e["cosine"] for e in got[i, t]["evidence"]] == pytest.approx([c for c, _ in near[:3]], abs=1e-5)
+        weight = [1 / (1 - min(c, 1.0) + 0.05) for c, _ in near]
+        vote = sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight)
+        low, high = (np.interp(vote + e, model.votes, model.chances) for e in (-1e-3, 1e-3))
+        assert low - 1e-6 <= got[i, t]["score"] <= high + 1e-6
+
+
+def test_toxicity_without_examples(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, None), (9, 1)], "doc_id bigint, toxic int")
+    for labels in (marks, marks.limit(0)):
+        model = toxicity.fit_toxicity(df, labels)
+        assert {r["score"] for r in toxicity.score_toxicity(df, model).collect()} == {0.5}
+    assert toxicity.score_toxicity(df.limit(0), toxicity.fit_toxicity(df.limit(0), marks)).count() == 0
+    only = toxicity.fit_toxicity(df, spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int"))
+    assert all(r["score"] < 0.5 for r in toxicity.score_toxicity(df, only).collect())
+
+
+def test_empty_tables(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.archived_pages(pages).count() == 0
+    docs = spark.createDataFrame([(1, "a b c", "s")], "doc_id bigint, text string, source string")
+    bench = spark.createDataFrame([(1, "b")], "item_id bigint, text string")
+    assert decontamination.mark_contamination(docs.limit(0), bench).count() == 0
+    assert decontamination.mark_contamination(docs, bench.limit(0)).first()["clean_text"] == "a b c"
+    assert lines.drop_boilerplate(docs.limit(0)).count() == 0
+    talks = preferences.conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))
+    assert preferences.format_preferences(preferences.swapped_replies(talks)).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "x", "y")], "doc_id bigint, text string, source string, spans string, n_lines string")
+    marked = decontamination.mark_contamination(docs, spark.createDataFrame([(1, "b")], "item_id bigint, text string")).first()
+    assert [tuple(x) for x in marked["spans"]] == [(1, 2)] and marked["n_lines"] == "y"
+    kept = lines.drop_boilerplate(docs).first()
+    assert kept["n_lines"] == 1 and kept["spans"] == "x"
 
 
-def test_toxicity_of_thirty_labels(spark):
-    rows = [(i, f"{text_of(i, 3)} {'vile rot scum' if i % 2 else 'fine day sun'}") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
-    model = toxicity.fit_toxicity(df, marks)
-    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, model).collect()}
-    assert all((out[i] >= toxicity.THRESHOLD) == (i % 2 == 1) for i in range(60))
+@pytest.fixture(scope="module")
+def duck(small):
+    connection = duckdb.connect()
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_twins(spark, duck, small, name):
+    got, expected = QUERIES[name](spark, small), duck.execute(SQL[name])
+    columns = [c[0] for c in expected.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, expected.fetchall()))
+
+
+def test_sharding_and_mixing_queries(spark, small):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    out = QUERIES["op2_sharding"](spark, small).collect()
+    assert {r["doc_id"] for r in out} == set(docs) and {r["law"] for r in out} == {"rows"} and {r["grown_shard"] for r in out} == {None}
+    sizes = [sum(r["shard"] == s for r in out) for s in range(24)]
+    assert max(sizes) - min(sizes) <= 1
+    for r in out:
+        raw = (docs[r["doc_id"]]["text"] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
+    words = {k: len((r["text"] or "").encode().split()) for k, r in docs.items()}
+    sources = sorted({r["source"] for r in docs.values()}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(words[k] for k, r in docs.items() if r["source"] == s) for s in sources}
+    # Targets by filling all sources at one level of weight, and capping those that are full.
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(sources)}
+    target, open_ = dict.fromkeys(sources, 0.0), set(sources)
+    while True:
+        left = 1.5 * sum(own.values()) - sum(target[s] for s in sources if s not in open_)
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * own[s]}
+        if not full:
+            break
+        target.update({s: 2.0 * own[s] for s in full})
+        open_ -= full
+    target.update({s: level * weight[s] for s in open_})
+    mixed = QUERIES["op7_mixing"](spark, small).collect()
+    assert sorted(r["doc_id"] for r in mixed) == sorted(docs)
+    for r in mixed:
+        assert (r["size"], r["source_size"]) == (words[r["doc_id"]], own[r["source"]]) and r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(target[r["source"]]) and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+    for s in sources:
+        taken = sum(r["taken"] for r in mixed if r["source"] == s)
+        least = min((r["size"] for r in mixed if r["source"] == s and r["size"]), default=0)
+        assert abs(taken - target[s]) <= max(0.01 * target[s], least)
+
+
+def test_toxicity_query(spark, small):
+    out = QUERIES["op1_toxicity"](spark, small).collect()
+    for r in out:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        assert r["predicted"] == int(r["score"] >= 0.3)
 
 
 def test_pipeline(spark, small):
