@@ -17,7 +17,8 @@ from ..functions.evidence import STYLES, tier_message
 from ..functions.rounding import round_exact
 from ..functions.severity import mismatch_type, severity_from_probability, severity_number
 from ..operators import (
-    cleaning, clustering, dashboards, dossiers, evaluation, features, filling, fusion, learned, profiling, signals, terms,
+    cleaning, clustering, dashboards, dossiers, evaluation, features, filling, fusion, heavy, learned, profiling, signals,
+    terms,
 )
 from ..operators.classifier import Training, train_classifier
 from ..sources.composed import CHANNEL_NAMES, composed_tickets, read_table, spread
@@ -274,7 +275,9 @@ def document_density(spark: SparkSession, d: str) -> DataFrame:
     """Keyword density of long multilingual texts, read whole."""
     texts = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.lit("").alias("subject"), F.col("text").alias("description"))
-    dense = signals.density_signal(signals.with_phrase_hits(texts))
+    # A stage table: each text is searched once, whatever reads its hits.
+    hits = written(signals.with_phrase_hits(texts).select("doc_id", "hits", "words"), "document-hits")
+    dense = signals.density_signal(hits)
     return dense.select("doc_id", F.size("hits").alias("phrase_hits"), "words", "keyword_density", "rule_nlp_severity")
 
 
@@ -554,6 +557,13 @@ def document_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.vocabulary(documents, "text", 3000)
 
 
+@query
+def frequent_document_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The same report from summaries of bounded size and exact counts of the candidates."""
+    documents = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return heavy.frequent_terms(documents, "text", 3000)
+
+
 @query
 def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     table = texts(spark, d)
@@ -617,13 +627,16 @@ def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.select("vec_id", found.nearest(F.col("vector")).alias("cluster_id"))
 
 
-# Fits of this process, by application and folder: four queries read the same one.
-_FITTED: dict[tuple[str, str], tuple[DataFrame, Training]] = {}
+# Fits of this process, by application and input: four queries read the same one.
+_FITTED: dict[tuple, tuple[DataFrame, Training]] = {}
 
 
 def _training(spark: SparkSession, d: str) -> tuple[DataFrame, Training]:
-    """Classifier of the fused label from signal 1 and the stand-in clusters, fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """Classifier of the fused label from signal 1 and the stand-in clusters, fitted once per session and input."""
+    # Rows and an order-free checksum: other rows in the same folder are another input.
+    events = read_table(spark, d, "events")
+    marks = events.agg(F.count("*"), F.bit_xor(F.xxhash64(*events.columns))).first()
+    key = (spark.sparkContext.applicationId, d, *marks)
     if key not in _FITTED:
         _FITTED[key] = _fitted(spark, d)
     return _FITTED[key]

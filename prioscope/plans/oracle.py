@@ -570,6 +570,7 @@ SQL["term_counts"] = CLEAN + ", " + token_tables("clean", "ticket_id", _JOINED)
 SELECT term, occurrences, texts FROM vc ORDER BY occurrences DESC, term LIMIT 5000"""
 SQL["document_terms"] = "WITH " + token_tables("documents", "doc_id", "text") + """
 SELECT term, occurrences, texts FROM vc ORDER BY occurrences DESC, term LIMIT 3000"""
+SQL["frequent_document_terms"] = SQL["document_terms"]
 SQL["tfidf_terms"] = CLEAN + ", " + token_tables("clean", "ticket_id", _JOINED) + """,
 vo AS (SELECT term, texts FROM vc ORDER BY occurrences DESC, term LIMIT 5000),
 wt AS (SELECT k, term, tf, (ln(tf) + 1) * (ln((1 + (SELECT count(*) FROM clean)) / (1 + texts)) + 1) AS raw FROM tf JOIN vo USING (term)),
