@@ -47,6 +47,8 @@ _SOFTENING = 0.05
 _CHUNK = 4096
 _SALTS = 32
 _TASKS_PER_CORE = 4
+# Scores of different texts that a task remembers.
+_REMEMBERED = 20_000
 
 EVIDENCE = T.ArrayType(T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
@@ -107,31 +109,38 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest with a positive cosine to the vector `values` at `terms`; ties by number."""
         length = np.sqrt((values * values).sum())
-        none = np.empty(0, np.int64), np.empty(0)
         if not self.n or not length:
-            return none
-        values = values / length
+            return np.empty(0, np.int64), np.empty(0)
+        values = (values / length).astype(np.float32)
         slots = self.slot[terms]
-        rare, often = terms[slots < 0], slots >= 0
-        start, end = self.start[rare].astype(np.int64), self.start[rare + 1].astype(np.int64)
-        at = _ranges(start, end)
-        base = np.bincount(self.ids[at], weights=self.weights[at] * np.repeat(values[~often], end - start),
-                           minlength=len(self.number))
-        slots, values = slots[often], values[often]
-        bound = base + np.repeat(values @ self.largest[slots], BLOCK)
+        often = slots >= 0
+        rare = terms[~often]
+        start, sizes = self.start[rare], self.start[rare + 1] - self.start[rare]
+        at = np.arange(sizes.sum(), dtype=np.int32)
+        at += np.repeat(start - np.append(0, np.cumsum(sizes[:-1])).astype(np.int32)[:len(start)], sizes)
+        weights = self.weights.take(at)
+        weights *= np.repeat(values[~often], sizes)
+        base = np.bincount(self.ids.take(at), weights=weights, minlength=len(self.number))
+        slots, values = slots[often].astype(np.int64), values[often]
+        above = values @ self.largest[slots]
+        top = base.reshape(self.blocks, BLOCK).max(axis=1) + above
+        width, dense = self.dense.shape[1], self.dense.reshape(-1)
 
         def scored(rows: np.ndarray) -> np.ndarray:
-            return base[rows] + self.dense[rows[:, None], slots] @ values
-
-        first = np.argpartition(-bound, 4 * k)[:4 * k] if len(bound) > 4 * k else np.arange(len(bound))
-        scores = scored(first)
-        worst = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        # No other example can be nearer.
-        rest = bound >= max(worst - 1e-6, 1e-12)
-        rest[first] = False
-        rest = np.flatnonzero(rest)
-        rows, scores = np.concatenate([first, rest]), np.concatenate([scores, scored(rest)])
-        kept = scores > 1e-12
+            return base[rows] + dense.take(rows[:, None] * width + slots) @ values
+
+        rows, scores, worst = np.empty(0, np.int64), np.empty(0), 0.0
+        # Blocks in the order of their bounds, more at a time: no other block can hold a nearer example.
+        order, done, step = np.argsort(-top, kind="stable"), 0, 2
+        while done < self.blocks and top[order[done]] >= max(worst - 1e-6, 1e-12):
+            chosen = order[done:done + step]
+            done, step = done + step, 2 * step
+            found = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = found[base[found] + np.repeat(above[chosen], BLOCK) >= worst - 1e-6]
+            rows, scores = np.append(rows, found), np.append(scores, scored(found))
+            if len(scores) >= k:
+                worst = np.partition(scores, -k)[-k]
+        kept = scores > max(worst - 1e-6, 1e-12)
         rows, scores = self.number[rows[kept]].astype(np.int64), scores[kept]
         if len(scores) > k:
             # All that tie with the k-th, then by number.
@@ -374,9 +383,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | Broadcast, text: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.value
+        # Copies score alike.
+        known: dict[int, tuple[float, list]] = {}
+
+        def scored(text: bytes) -> tuple[float, list]:
+            mark = xxhash.xxh3_128_intdigest(text)
+            if mark not in known:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                known[mark] = scorer.score(text)
+            return known[mark]
+
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            found = [scorer.score(value.as_py() or b"") for value in batch.column(text).cast(pa.binary())]
+            found = [scored(value.as_py() or b"") for value in batch.column(text).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)],
                                              names=[*batch.schema.names, "score", "evidence"])
 
