@@ -19,11 +19,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..sources.tables import written
@@ -343,11 +344,12 @@ def _cross_votes(packed: DataFrame, idf: np.ndarray) -> list[tuple[float | None,
 
         return packed.coalesce(1).mapInArrow(vote, "label double, vote double")
 
-    parts = [part(fold, number) for fold in range(FOLDS) for number in range(_PARTS)]
-    whole = parts[0]
-    for other in parts[1:]:
-        whole = whole.unionByName(other)
-    found = whole.toArrow()
+    # One job each, side by side: a union would put all of them into one task.
+    target = inheritable_thread_target(packed.sparkSession)
+    with ThreadPool(FOLDS * _PARTS) as pool:
+        found = pool.starmap(target(lambda fold, number: part(fold, number).toArrow()),
+                             [(fold, number) for fold in range(FOLDS) for number in range(_PARTS)])
+    found = pa.concat_tables(found)
     known.destroy()
     return list(zip(found["vote"].to_pylist(), found["label"].to_pylist()))
 
