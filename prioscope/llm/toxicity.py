@@ -32,12 +32,12 @@ from .common import column
 from .words import letter_words
 
 # The examples are the labelled documents with the smallest hashes, at most so many; everything else covers all rows.
-MAX_EXAMPLES = 16_384
+MAX_EXAMPLES = 8_192
 NEIGHBOURS = 15
 BLOCK = 64
 # A word in more than one of so many examples is frequent; at most MAX_FREQUENT, the most frequent ones.
 RARITY = 64
-MAX_FREQUENT = 512
+MAX_FREQUENT = 256
 PRIOR = 20.0
 FOLDS = 2
 # Tasks that share the votes of a fold.
@@ -116,20 +116,17 @@ class BlockMaxIndex:
         slots = self.slot[terms]
         often = slots >= 0
         rare = terms[~often]
-        start, sizes = self.start[rare], self.start[rare + 1] - self.start[rare]
-        at = np.arange(sizes.sum(), dtype=np.int32)
-        at += np.repeat(start - np.append(0, np.cumsum(sizes[:-1])).astype(np.int32)[:len(start)], sizes)
-        weights = self.weights.take(at)
-        weights *= np.repeat(values[~often], sizes)
-        base = np.bincount(self.ids.take(at), weights=weights, minlength=len(self.number))
+        start, end = self.start[rare], self.start[rare + 1]
+        ranges = list(zip(start.tolist(), end.tolist()))
+        base = np.zeros(len(self.number))
+        if ranges:
+            weights = np.concatenate([self.weights[a:b] for a, b in ranges])
+            weights *= np.repeat(values[~often], end - start)
+            base = np.bincount(np.concatenate([self.ids[a:b] for a, b in ranges]), weights=weights, minlength=len(base))
         slots, values = slots[often].astype(np.int64), values[often]
         above = values @ self.largest[slots]
         top = base.reshape(self.blocks, BLOCK).max(axis=1) + above
         width, dense = self.dense.shape[1], self.dense.reshape(-1)
-
-        def scored(rows: np.ndarray) -> np.ndarray:
-            return base[rows] + dense.take(rows[:, None] * width + slots) @ values
-
         rows, scores, worst = np.empty(0, np.int64), np.empty(0), 0.0
         # Blocks in the order of their bounds, more at a time: no other block can hold a nearer example.
         order, done, step = np.argsort(-top, kind="stable"), 0, 2
@@ -138,7 +135,7 @@ class BlockMaxIndex:
             done, step = done + step, 2 * step
             found = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             found = found[base[found] + np.repeat(above[chosen], BLOCK) >= worst - 1e-6]
-            rows, scores = np.append(rows, found), np.append(scores, scored(found))
+            rows, scores = np.append(rows, found), np.append(scores, base[found] + dense.take(found[:, None] * width + slots) @ values)
             if len(scores) >= k:
                 worst = np.partition(scores, -k)[-k]
         kept = scores > max(worst - 1e-6, 1e-12)
