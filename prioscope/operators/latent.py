@@ -1,8 +1,8 @@
 """Latent semantic vectors: truncated SVD of a tall sparse matrix as Spark jobs.
 
-Randomised subspace iteration (Halko, Martinsson and Tropp, 2011). The matrix of
-texts stays distributed; only term-by-component matrices, bounded by vocabulary
-and component count, reach the driver.
+Block Krylov iteration from a random start (Musco and Musco, 2015) with a measured
+residual. The matrix of texts stays distributed; only term-by-component matrices,
+bounded by vocabulary, component count and passes, reach the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OVERSAMPLING = 10
-PASSES = 3
+# Passes at most, and the residual to stop at.
+PASSES = 8
+RESIDUAL = 1e-3
 # A singular value below this share of the first is numerical noise.
 RANK_TOLERANCE = 1e-7
 TASKS_PER_CORE = 2
@@ -93,22 +95,39 @@ class LatentModel:
         return project(indices, weights)
 
 
-def fit_latent(df: DataFrame, terms: int, k: int = 100, passes: int = PASSES, seed: int = 42) -> LatentModel:
+def fit_latent(df: DataFrame, terms: int, k: int = 100, passes: int = PASSES, residual: float = RESIDUAL, seed: int = 42) -> LatentModel:
     """Leading right singular vectors of the rows `indices`, `weights`; persist `df` first.
 
-    `k` shrinks to the numerical rank. Sign and, for equal singular values, the
-    basis are arbitrary.
+    Every pass over the rows adds a block to a Krylov space of X'X, from which the
+    best vectors are read (Rayleigh-Ritz). It ends when all of them satisfy
+    |X'X v - s^2 v| <= residual * s1^2, or after `passes`; the error of a value is of
+    the order of the square of the residual. `k` shrinks to the numerical rank. Sign
+    and, for equal singular values, the basis are arbitrary.
     """
     tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     # Few tasks, since each sends back one matrix of sums.
     rows = df.select("indices", "weights").coalesce(tasks)
     width = min(k + OVERSAMPLING, terms)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
-    for _ in range(passes):
-        basis = np.linalg.qr(_gram_product(rows, basis))[0]
-    small = basis.T @ _gram_product(rows, basis)
-    squares, rotation = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(squares)[::-1][:k]
-    values = np.sqrt(np.maximum(squares[order], 0))
-    kept = values > RANK_TOLERANCE * values[0]
-    return LatentModel((basis @ rotation[:, order])[:, kept], values[kept])
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
+    basis, image = np.empty((terms, 0)), np.empty((terms, 0))
+    for turn in range(passes):
+        basis, image = np.hstack([basis, block]), np.hstack([image, _gram_product(rows, block)])
+        small = basis.T @ image
+        squares, rotation = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(squares)[::-1][:k]
+        squares, rotation = np.maximum(squares[order], 0), rotation[:, order]
+        kept = squares > (RANK_TOLERANCE**2) * squares[0]
+        vectors = basis @ rotation
+        error = np.linalg.norm(image @ rotation - vectors * squares, axis=0)
+        if not kept.any() or error[kept].max() <= residual * squares[0] or turn + 1 == passes:
+            break
+        # What the last product adds to the space; twice, against rounding.
+        block = image[:, -block.shape[1]:]
+        size = np.linalg.norm(block)
+        for _ in range(2):
+            block = block - basis @ (basis.T @ block)
+        left, sizes, _ = np.linalg.svd(block, full_matrices=False)
+        block = left[:, sizes > 1e-10 * size][:, :terms - basis.shape[1]]
+        if not block.shape[1]:
+            break
+    return LatentModel(vectors[:, kept], np.sqrt(squares[kept]))

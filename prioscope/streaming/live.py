@@ -3,7 +3,7 @@
 Tier signal, density signal, fixed resolution tiers, rule override and dossiers
 depend on their own row only, so the batch functions are used as they are.
 What needs the whole table (quartiles, medians, lowered label thresholds) is
-replaced by its fixed variant.
+replaced by its fixed variant; `tiers` keeps quartiles of all rows so far.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.dossiers import flat_dossiers
 from ..operators.evaluation import with_rule_override
 from ..operators.filling import DEFAULT_MINUTES
 from ..operators.signals import density_signal, tier_by_fixed_cuts, tier_signal, with_phrase_hits
@@ -43,6 +44,19 @@ def judged(matched: DataFrame) -> DataFrame:
     return ruled.withColumn("severity_delta", delta).withColumn("mismatch", (F.abs(delta) >= 2).cast("int"))
 
 
+def dossier_stream(scored: DataFrame, style: str = "interactive") -> DataFrame:
+    """Flat evidence records of arriving mismatches, by the styles that need no table-wide cuts; batch or stream.
+
+    Takes the rows of `judged`; without a classifier a mismatch of signal 1 counts
+    as a prediction, and the share of the scale it spans as its probability.
+    """
+    if style == "full":
+        raise ValueError("full records need the quartiles of a table: see tiers.tier_stream")
+    return flat_dossiers(scored.withColumns({
+        "predicted_label": F.col("mismatch"), "prob_mismatch": F.least(F.lit(1.0), F.lit(0.5) + F.abs("severity_delta") / 6),
+        "inferred_severity": F.col("llm_severity_score")}), style)
+
+
 def windowed_mismatches(scored: DataFrame, time: str = "submitted_at", window: str = "1 hour",
                         late: str = "2 hours") -> DataFrame:
     """Tickets and mismatches per channel and tumbling window; rows later than `late` are ignored."""
