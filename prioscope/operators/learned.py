@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.tables import written
+from ..sources.tables import balanced, written
 from .clustering import MAX_ITERATIONS, RESTARTS, attach_cluster_severity, fit_clusters, rank_clusters
 from .features import fit_label_encoder
 from .filling import ALL_MISSING_MINUTES, median_filled
@@ -84,7 +84,9 @@ def regression_signal(
     rows = VectorSizeHint(inputCol="_terms", size=len(tfidf.terms), handleInvalid="optimistic").transform(rows)
     assembler = VectorAssembler(inputCols=["_terms", "_channel_code", "_category_code"], outputCol="_features")
     table = written(assembler.transform(rows).select(*df.columns, "_label", "_features"), "regression")
+    known = balanced(table.select("_label", "_features")).persist()
     model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, featuresCol="_features",
-                         labelCol="_label", predictionCol="predicted_minutes").fit(table.select("_label", "_features"))
+                         labelCol="_label", predictionCol="predicted_minutes").fit(known)
+    known.unpersist()
     predicted = written(model.transform(table).drop("_label", "_features"), "predicted")
     return quartile_bucket(predicted)
