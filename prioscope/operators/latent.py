@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import balanced
+
 # The functions below travel to the workers by value: nothing to install there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,7 +27,8 @@ PASSES = 8
 RESIDUAL = 1e-3
 # A singular value below this share of the first is numerical noise.
 RANK_TOLERANCE = 1e-7
-TASKS_PER_CORE = 2
+# Rows of a task: each sends back one matrix of sums.
+FIT_ROWS = 200_000
 # Rows per dense block; a block is at most this many rows times the vocabulary.
 BLOCK_ROWS = 512
 
@@ -96,7 +99,7 @@ class LatentModel:
 
 
 def fit_latent(df: DataFrame, terms: int, k: int = 100, passes: int = PASSES, residual: float = RESIDUAL, seed: int = 42) -> LatentModel:
-    """Leading right singular vectors of the rows `indices`, `weights`; persist `df` first.
+    """Leading right singular vectors of the rows `indices`, `weights`, which are kept, dealt evenly, during the fit.
 
     Every pass over the rows adds a block to a Krylov space of X'X, from which the
     best vectors are read (Rayleigh-Ritz). It ends when all of them satisfy
@@ -104,9 +107,14 @@ def fit_latent(df: DataFrame, terms: int, k: int = 100, passes: int = PASSES, re
     the order of the square of the residual. `k` shrinks to the numerical rank. Sign
     and, for equal singular values, the basis are arbitrary.
     """
-    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    # Few tasks, since each sends back one matrix of sums.
-    rows = df.select("indices", "weights").coalesce(tasks)
+    rows = balanced(df.select("indices", "weights"), FIT_ROWS).persist()
+    try:
+        return _fitted(rows, terms, k, passes, residual, seed)
+    finally:
+        rows.unpersist()
+
+
+def _fitted(rows: DataFrame, terms: int, k: int, passes: int, residual: float, seed: int) -> LatentModel:
     width = min(k + OVERSAMPLING, terms)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
     basis, image = np.empty((terms, 0)), np.empty((terms, 0))
