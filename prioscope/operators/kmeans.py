@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.tables import written
+from ..sources.tables import balanced, written
 
 # Points of a block.
 BLOCK = 4096
@@ -26,7 +26,8 @@ SEEDING_ROUNDS = 3
 OVERSAMPLING = 2
 # Centres stop when they move by less than this share of the mean variance of a coordinate.
 TOLERANCE = 1e-6
-TASKS_PER_CORE = 2
+# Blocks of a task: each sends back one matrix of sums.
+FIT_BLOCKS = 50
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,14 @@ def fit_kmeans(df: DataFrame, vector: str, k: int, seeds: Sequence[int], max_ite
     blocks, dims, variance = _packed(df, vector)
     if dims is None:
         return Clusters(np.zeros((k, 0)), 0.0, tuple(0.0 for _ in seeds))
+    blocks = blocks.persist()
+    try:
+        return _fitted(blocks, dims, variance, k, seeds, max_iter, tolerance)
+    finally:
+        blocks.unpersist()
+
+
+def _fitted(blocks: DataFrame, dims: int, variance: float, k: int, seeds: Sequence[int], max_iter: int, tolerance: float) -> Clusters:
     centres = _seeded(blocks, k, seeds, dims)
     active = list(range(len(seeds)))
     for _ in range(max_iter):
@@ -92,7 +101,7 @@ def _packed(df: DataFrame, vector: str) -> tuple[DataFrame, int | None, float]:
                 pa.array([float((p * p).sum()) for p in parts]),
                 pa.array([float((p.sum(axis=0) ** 2).sum()) for p in parts])], names=["data", "dims", "n", "total", "squares", "spread"])
 
-    kept = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>"))
+    kept = balanced(df.select(vector)).where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>"))
     blocks = written(kept.mapInArrow(pack, "data binary, dims int, n bigint, total double, squares double, spread double"), "points")
     found = blocks.agg(F.min("dims").alias("low"), F.max("dims").alias("high"), F.sum("n").alias("n"), F.sum("total").alias("total"),
                        F.sum("squares").alias("squares")).first()
@@ -102,9 +111,7 @@ def _packed(df: DataFrame, vector: str) -> tuple[DataFrame, int | None, float]:
         raise ValueError("vectors of different lengths")
     cells = found["n"] * max(1, found["high"])
     variance = max(found["squares"] / cells - (found["total"] / cells) ** 2, 1e-300)
-    # Few tasks, since each sends back one matrix of sums.
-    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return blocks.select("data").coalesce(tasks), found["high"], variance
+    return balanced(blocks.select("data"), FIT_BLOCKS), found["high"], variance
 
 
 def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
