@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import written
-from .terms import text_terms, vocabulary
+from .terms import tallies, text_terms, vocabulary
 
 # Terms that a task hands on.
 CAPACITY = 100_000
@@ -77,7 +77,7 @@ def frequent_terms(df: DataFrame, text: str, size: int, bigrams: bool = True, mi
             candidates = kept.where(F.col("n") + error >= bound).select("term")
             if candidates.limit(most_candidates + 1).count() > most_candidates:
                 break
-            found = written(_counted(listed, candidates, min_df).orderBy(F.desc("occurrences"), "term").limit(size), "frequent-terms")
+            found = written(_counted(tallies(df, text, bigrams), candidates, min_df).orderBy(F.desc("occurrences"), "term").limit(size), "frequent-terms")
             last = found.agg(F.count("*"), F.min("occurrences")).first()
             reached = last[1] if last[0] == size else 1
             if reached >= bound:
@@ -87,11 +87,7 @@ def frequent_terms(df: DataFrame, text: str, size: int, bigrams: bool = True, mi
     return vocabulary(df, text, size, bigrams, min_df)
 
 
-def _counted(listed: DataFrame, candidates: DataFrame, min_df: int) -> DataFrame:
+def _counted(counts: DataFrame, candidates: DataFrame, min_df: int) -> DataFrame:
     """Exact occurrences and texts of the candidates, which are few enough to be broadcast."""
-    marked = listed.select(F.explode_outer(F.concat(
-        F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("in_text"))),
-        F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("in_text"))),
-    )).alias("_t")).select("_t.*")
-    return marked.join(F.broadcast(candidates), "term").groupBy("term").agg(
-        F.count_if(F.col("in_text") == 0).alias("occurrences"), F.sum("in_text").alias("texts")).where(F.col("texts") >= min_df)
+    return counts.join(F.broadcast(candidates), "term").groupBy("term").agg(
+        F.sum("occurrences").alias("occurrences"), F.sum("texts").alias("texts")).where(F.col("texts") >= min_df)
