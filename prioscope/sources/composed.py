@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.matching import sql_text
+from .tables import TASK_ROWS
 
 # --- Fixed values: text blocks of the composed tickets ----------------------
 SUBJECTS = (
@@ -41,10 +42,10 @@ def _pick(values: tuple, number: Column) -> Column:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input has fewer splits than cores; else leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
+    """Use all cores, and at most about TASK_ROWS rows a task, when the input has fewer splits; else leave it alone."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    if df.rdd.getNumPartitions() < tasks:
+        return df.repartition(tasks, key)
     return df
 
 
