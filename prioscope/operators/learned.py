@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import balanced, written
+from .boosting import fit_regressor
 from .clustering import MAX_ITERATIONS, RESTARTS, attach_cluster_severity, fit_clusters, rank_clusters
 from .features import fit_label_encoder
 from .filling import ALL_MISSING_MINUTES, median_filled
@@ -85,8 +86,9 @@ def regression_signal(
     assembler = VectorAssembler(inputCols=["_terms", "_channel_code", "_category_code"], outputCol="_features")
     table = written(assembler.transform(rows).select(*df.columns, "_label", "_features"), "regression")
     known = balanced(table.select("_label", "_features")).persist()
-    model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, featuresCol="_features",
-                         labelCol="_label", predictionCol="predicted_minutes").fit(known)
+    model = fit_regressor(known, len(tfidf.terms) + 2, GBTRegressor(
+        maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, featuresCol="_features",
+        labelCol="_label", predictionCol="predicted_minutes"))
     known.unpersist()
     predicted = written(model.transform(table).drop("_label", "_features"), "predicted")
     return quartile_bucket(predicted)
