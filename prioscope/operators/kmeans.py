@@ -5,7 +5,8 @@ takes the distances of a block to the centres of all restarts from one matrix
 product and sends back sums per restart and cluster. Restarts that have converged
 leave the product. Bounds per point (Hamerly, Elkan) would save part of that product
 but need a table of point states rewritten by every pass; with a few clusters the
-scan is what a pass costs.
+scan is what a pass costs. Where blocks would take much room, a pass makes its points
+anew from rows that are kept in a smaller form (fit_points).
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.tables import balanced, written
 
+# Makes points, rows by dimensions, of batches of rows and the number of dimensions.
+Reader = Callable[[Iterator[pa.RecordBatch], int], Iterator[np.ndarray]]
+
 # Points of a block.
 BLOCK = 4096
 # Rounds of seeding, and points drawn in each per wanted cluster (k-means||, Bahmani et al. 2012).
@@ -61,27 +66,52 @@ def fit_kmeans(df: DataFrame, vector: str, k: int, seeds: Sequence[int], max_ite
     blocks, dims, variance = _packed(df, vector)
     if dims is None:
         return Clusters(np.zeros((k, 0)), 0.0, tuple(0.0 for _ in seeds))
-    blocks = blocks.persist()
+    # What does not fit is read again from its table, not kept a second time.
+    blocks = blocks.persist(StorageLevel.MEMORY_ONLY)
     try:
         return _fitted(blocks, dims, variance, k, seeds, max_iter, tolerance)
     finally:
         blocks.unpersist()
 
 
-def _fitted(blocks: DataFrame, dims: int, variance: float, k: int, seeds: Sequence[int], max_iter: int, tolerance: float) -> Clusters:
-    centres = _seeded(blocks, k, seeds, dims)
+def fit_points(rows: DataFrame, read: Reader, dims: int, k: int, seeds: Sequence[int], max_iter: int, tolerance: float = TOLERANCE) -> Clusters:
+    """fit_kmeans of the points that `read` makes of batches of rows, in every pass; they are not kept."""
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, squares = 0, 0.0, 0.0
+        for points in read(batches, dims):
+            n, total, squares = n + len(points), total + float(points.sum()), squares + float((points * points).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total]), pa.array([squares])], names=["n", "total", "squares"])
+
+    found = rows.mapInArrow(moments, "n bigint, total double, squares double").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).first()
+    if not found["n"]:
+        return Clusters(np.zeros((k, 0)), 0.0, tuple(0.0 for _ in seeds))
+    cells = found["n"] * max(1, dims)
+    variance = max(found["squares"] / cells - (found["total"] / cells) ** 2, 1e-300)
+    return _fitted(rows, dims, variance, k, seeds, max_iter, tolerance, read)
+
+
+def _points(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for data in batch.column(0):
+            yield np.frombuffer(data.as_buffer(), float).reshape(-1, dims)
+
+
+def _fitted(blocks: DataFrame, dims: int, variance: float, k: int, seeds: Sequence[int], max_iter: int, tolerance: float,
+            read: Reader = _points) -> Clusters:
+    centres = _seeded(blocks, k, seeds, dims, read)
     active = list(range(len(seeds)))
     for _ in range(max_iter):
-        counts, sums, _ = _pass(blocks, centres[active], dims)
+        counts, sums, _ = _pass(blocks, centres[active], dims, read)
         moved = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], centres[active])
         if (counts == 0).any():
-            _repair(blocks, moved, counts, centres[active])
+            _repair(blocks, moved, counts, centres[active], read)
         shift = ((moved - centres[active]) ** 2).sum(axis=(1, 2))
         centres[active] = moved
         active = [r for r, s in zip(active, shift) if s > tolerance * variance]
         if not active:
             break
-    costs = _pass(blocks, centres, dims)[2]
+    costs = _pass(blocks, centres, dims, read)[2]
     best = int(costs.argmin())
     return Clusters(centres[best], float(costs[best]), tuple(costs.tolist()))
 
@@ -120,25 +150,19 @@ def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
-def _points(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[np.ndarray]:
-    for batch in batches:
-        for data in batch.column(0):
-            yield np.frombuffer(data.as_buffer(), float).reshape(-1, dims)
-
-
 def _shared(blocks: DataFrame, work: Callable, schema: str, payload: object) -> DataFrame:
     known = blocks.sparkSession.sparkContext.broadcast(payload)
     return blocks.mapInArrow(lambda batches: work(batches, known.value), schema)
 
 
-def _pass(blocks: DataFrame, centres: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pass(blocks: DataFrame, centres: np.ndarray, dims: int, read: Reader = _points) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per restart and cluster the points and their sums, per restart the cost; centres are restarts x clusters x dimensions."""
     restarts, k, _ = centres.shape
 
     def work(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
         flat = centres.reshape(restarts * k, dims)
         sums, counts, cost = np.zeros((restarts * k, dims)), np.zeros(restarts * k), np.zeros(restarts)
-        for points in _points(batches, dims):
+        for points in read(batches, dims):
             squares = _squares(points, flat).reshape(len(points), restarts, k)
             nearest = squares.argmin(axis=2)
             cost += squares.min(axis=2).sum(axis=0)
@@ -155,7 +179,8 @@ def _pass(blocks: DataFrame, centres: np.ndarray, dims: int) -> tuple[np.ndarray
     return table[:, :, 1], table[:, :, 2:], table[:, 0, 0]
 
 
-def _drawn(blocks: DataFrame, centres: list[np.ndarray], dims: int, number: int, seeds: Sequence[int] | None, turn: int = 0) -> list[np.ndarray]:
+def _drawn(blocks: DataFrame, centres: list[np.ndarray], dims: int, number: int, seeds: Sequence[int] | None, turn: int = 0,
+           read: Reader = _points) -> list[np.ndarray]:
     """Per restart `number` points: drawn in proportion to their squared distance from its centres, or the farthest without seeds.
 
     A draw keeps the points with the largest keys u^(1/weight) (Efraimidis and
@@ -163,7 +188,7 @@ def _drawn(blocks: DataFrame, centres: list[np.ndarray], dims: int, number: int,
     """
     def work(batches: Iterator[pa.RecordBatch], centres: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         best = [(np.zeros(0), np.zeros((0, dims))) for _ in centres]
-        for points in _points(batches, dims):
+        for points in read(batches, dims):
             mark = int(np.bitwise_xor.reduce(points.ravel().view(np.uint64), initial=np.uint64(0)))
             for r, own in enumerate(centres):
                 weight = _squares(points, own).min(axis=1) if len(own) else np.ones(len(points))
@@ -187,11 +212,11 @@ def _drawn(blocks: DataFrame, centres: list[np.ndarray], dims: int, number: int,
     return out
 
 
-def _weights(blocks: DataFrame, candidates: list[np.ndarray], dims: int) -> list[np.ndarray]:
+def _weights(blocks: DataFrame, candidates: list[np.ndarray], dims: int, read: Reader) -> list[np.ndarray]:
     """Per restart the points nearest to each candidate."""
     def work(batches: Iterator[pa.RecordBatch], candidates: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(len(own)) for own in candidates]
-        for points in _points(batches, dims):
+        for points in read(batches, dims):
             for count, own in zip(counts, candidates):
                 count += np.bincount(_squares(points, own).argmin(axis=1), minlength=len(own))
         flat = np.concatenate(counts)
@@ -202,14 +227,14 @@ def _weights(blocks: DataFrame, candidates: list[np.ndarray], dims: int) -> list
     return np.split(flat, np.cumsum([len(own) for own in candidates])[:-1])
 
 
-def _seeded(blocks: DataFrame, k: int, seeds: Sequence[int], dims: int) -> np.ndarray:
+def _seeded(blocks: DataFrame, k: int, seeds: Sequence[int], dims: int, read: Reader) -> np.ndarray:
     """First centres of every restart: k-means|| candidates, reduced by weighted k-means++."""
-    candidates = _drawn(blocks, [np.zeros((0, dims))] * len(seeds), dims, 1, seeds)
+    candidates = _drawn(blocks, [np.zeros((0, dims))] * len(seeds), dims, 1, seeds, read=read)
     for turn in range(1, SEEDING_ROUNDS + 1):
-        more = _drawn(blocks, candidates, dims, OVERSAMPLING * k, seeds, turn)
+        more = _drawn(blocks, candidates, dims, OVERSAMPLING * k, seeds, turn, read)
         candidates = [np.vstack(pair) for pair in zip(candidates, more)]
     out = np.empty((len(seeds), k, dims))
-    for r, (points, weights) in enumerate(zip(candidates, _weights(blocks, candidates, dims))):
+    for r, (points, weights) in enumerate(zip(candidates, _weights(blocks, candidates, dims, read))):
         draw = np.random.default_rng(seeds[r])
         chosen = [int(draw.choice(len(points), p=weights / weights.sum()))]
         while len(chosen) < k:
@@ -219,10 +244,10 @@ def _seeded(blocks: DataFrame, k: int, seeds: Sequence[int], dims: int) -> np.nd
     return out
 
 
-def _repair(blocks: DataFrame, moved: np.ndarray, counts: np.ndarray, centres: np.ndarray) -> None:
+def _repair(blocks: DataFrame, moved: np.ndarray, counts: np.ndarray, centres: np.ndarray, read: Reader = _points) -> None:
     """Centres without points move to the points that are farthest from all centres."""
     dims = centres.shape[2]
-    far = _drawn(blocks, list(centres), dims, centres.shape[1], None)
+    far = _drawn(blocks, list(centres), dims, centres.shape[1], None, read=read)
     for r in range(len(moved)):
         empty = np.flatnonzero(counts[r] == 0)
         for at, point in zip(empty, far[r]):

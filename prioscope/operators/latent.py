@@ -8,13 +8,13 @@ bounded by vocabulary, component count and passes, reach the driver.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import balanced
 
@@ -43,7 +43,10 @@ def _blocks(indices: pa.ListArray, weights: pa.ListArray) -> Iterator[tuple[np.n
     for first in range(0, len(indices), BLOCK_ROWS):
         last = min(first + BLOCK_ROWS, len(indices))
         entries = slice(ends[first], ends[last])
-        used, column = np.unique(terms[entries], return_inverse=True)
+        own = terms[entries]
+        known = np.zeros(own.max(initial=-1) + 1, bool)
+        known[own] = True
+        used, column = np.flatnonzero(known), (np.cumsum(known) - 1)[own]
         block = np.zeros((last - first, len(used)))
         block[np.repeat(np.arange(last - first), np.diff(ends[first:last + 1])), column] = values[entries]
         yield used, block
@@ -89,14 +92,28 @@ class LatentModel:
 
         @F.arrow_udf("array<double>")
         def project(index_batch: pa.Array, weight_batch: pa.Array) -> pa.Array:
-            parts = [block @ basis[terms] for terms, block in _blocks(index_batch, weight_batch)]
-            products = np.concatenate(parts) if parts else np.zeros((0, width))
-            norms = np.linalg.norm(products, axis=1, keepdims=True)
-            unit = products / np.where(norms == 0, 1.0, norms)
+            unit = _coordinates(basis, index_batch, weight_batch)
             return pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), width).cast(pa.list_(pa.float64()))
 
         return project(indices, weights)
 
+    def reader(self, spark: SparkSession) -> Callable[[Iterator[pa.RecordBatch], int], Iterator[np.ndarray]]:
+        """Makes the same coordinates of batches of sparse rows."""
+        shared = spark.sparkContext.broadcast(self.components)
+
+        def read(batches: Iterator[pa.RecordBatch], _: int) -> Iterator[np.ndarray]:
+            for batch in batches:
+                yield _coordinates(shared.value, batch.column("indices"), batch.column("weights"))
+
+        return read
+
+
+def _coordinates(basis: np.ndarray, indices: pa.ListArray, weights: pa.ListArray) -> np.ndarray:
+    parts = [block @ basis[terms] for terms, block in _blocks(indices, weights)]
+    products = np.concatenate(parts) if parts else np.zeros((0, basis.shape[1]))
+    norms = np.linalg.norm(products, axis=1, keepdims=True)
+    return products / np.where(norms == 0, 1.0, norms)
+
 
 def fit_latent(df: DataFrame, terms: int, k: int = 100, passes: int = PASSES, residual: float = RESIDUAL, seed: int = 42) -> LatentModel:
     """Leading right singular vectors of the rows `indices`, `weights`, which are kept, dealt evenly, during the fit.
@@ -107,7 +124,8 @@ def fit_latent(df: DataFrame, terms: int, k: int = 100, passes: int = PASSES, re
     the order of the square of the residual. `k` shrinks to the numerical rank. Sign
     and, for equal singular values, the basis are arbitrary.
     """
-    rows = balanced(df.select("indices", "weights"), FIT_ROWS).persist()
+    # What does not fit is read again from its table, not kept a second time.
+    rows = balanced(df.select("indices", "weights"), FIT_ROWS).persist(StorageLevel.MEMORY_ONLY)
     try:
         return _fitted(rows, terms, k, passes, residual, seed)
     finally:

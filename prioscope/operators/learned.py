@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.severity import LABELS
 from ..sources.tables import balanced, written
 from .boosting import fit_regressor
 from .clustering import MAX_ITERATIONS, RESTARTS, attach_cluster_severity, fit_clusters, rank_clusters
 from .features import fit_label_encoder
 from .filling import ALL_MISSING_MINUTES, median_filled
-from .latent import LatentModel, fit_latent
+from .kmeans import fit_points
+from .latent import FIT_ROWS, LatentModel, fit_latent
 from .signals import quartile_bucket
 from .terms import TfidfModel
 
 CLUSTER_TERMS = 5000
 COMPONENTS = 100
 REGRESSION_TERMS = 100
+# Bytes of latent vectors that are kept as tables; more are made anew by every pass over the sparse rows.
+KEPT_BYTES = 6 << 30
 
 
 def with_latent_vectors(
@@ -30,21 +35,38 @@ def with_latent_vectors(
     The weights are a stage table with every column of `df`: the fit reads only
     its own columns from it, and nothing has to be joined back.
     """
+    rows, latent = _weighted_rows(df, text, terms, k)
+    vectors = rows.withColumn("vector", latent.vectors(F.col("indices"), F.col("weights")))
+    return vectors.drop("indices", "weights"), latent
+
+
+def _weighted_rows(df: DataFrame, text: str, terms: int, k: int) -> tuple[DataFrame, LatentModel]:
+    """Stage table of df with term indices and weights, and the latent model of its rows."""
     model = TfidfModel.fit(df, text, terms)
     weighted = model.weights(df, text, "_w").withColumns({
         "indices": F.col("_w")["indices"], "weights": F.col("_w")["weights"]}).drop("_w")
     rows = written(weighted, "tfidf")
-    latent = fit_latent(rows, len(model.terms), k)
-    vectors = rows.withColumn("vector", latent.vectors(F.col("indices"), F.col("weights")))
-    return vectors.drop("indices", "weights"), latent
+    return rows, fit_latent(rows, len(model.terms), k)
 
 
 def with_text_clusters(
     df: DataFrame, text: str = "text", terms: int = CLUSTER_TERMS, k: int = COMPONENTS,
     seeds: Sequence[int] = range(42, 42 + RESTARTS), max_iter: int = MAX_ITERATIONS,
 ) -> DataFrame:
-    """Add cluster_id, the best of several k-means runs over the latent vectors."""
-    vectors = written(with_latent_vectors(df, text, terms, k)[0], "vectors")
+    """Add cluster_id, the best of several k-means runs over the latent vectors.
+
+    Vectors take many times the room of the sparse rows they come from: beyond
+    KEPT_BYTES the only table is that of the rows.
+    """
+    rows, latent = _weighted_rows(df, text, terms, k)
+    vectors = rows.withColumn("vector", latent.vectors(F.col("indices"), F.col("weights"))).drop("indices", "weights")
+    dims = latent.components.shape[1]
+    if rows.count() * dims * 8 > KEPT_BYTES:
+        sparse = balanced(rows.select("indices", "weights"), FIT_ROWS).persist(StorageLevel.MEMORY_ONLY)
+        found = fit_points(sparse, latent.reader(df.sparkSession), dims, len(LABELS), list(seeds), max_iter)
+        sparse.unpersist()
+        return vectors.withColumn("cluster_id", found.nearest(F.col("vector"))).drop("vector")
+    vectors = written(vectors, "vectors")
     found = fit_clusters(vectors, "vector", seeds=seeds, max_iter=max_iter)
     return vectors.withColumn("cluster_id", found.nearest(F.col("vector"))).drop("vector")
 
